@@ -108,6 +108,10 @@ FUZZY_REASON_HEAD = (
 FUZZY_REASON_MIDDLE = "' (similarity "
 FUZZY_REASON_TAIL = ") — review recommended, not a confirmed match"
 
+# Letters that case folding changes although they are lower case already.
+FOLDED_LETTERS = ("ςſ", "σs")
+SHARP_S = "ß"
+
 # --- Risk score -----------------------------------------------------------
 
 METHOD_POINTS = {

@@ -62,7 +62,8 @@ def roundness_tier(amount: Column, tiers: Sequence[RoundTier]) -> Column:
 
 def normalised_name(name: Column) -> Column:
     """Case-folded name with single blanks; '' for missing."""
-    folded = F.lower(F.upper(name.cast("string")))
+    lowered = F.translate(F.lower(name.cast("string")), *fv.FOLDED_LETTERS)
+    folded = F.replace(lowered, F.lit(fv.SHARP_S), F.lit("ss"))
     return F.coalesce(F.trim(F.regexp_replace(folded, r"(?U)\s+", " ")), F.lit(""))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgersieve import fixed_values as fv
 from ledgersieve.config import ScreenConfig
 from ledgersieve.functions import scalars as s
-from ledgersieve.operators.quantiles import grouped_quantiles, value_counts
+from ledgersieve.operators.quantiles import grouped_quantiles
 from ledgersieve.sources.kept import kept
 
 
@@ -22,28 +22,28 @@ def account_medians(
     ledger: DataFrame, amount: str = "amount", account: str = "account"
 ) -> DataFrame:
     """Exact median and row count per account."""
-    counts = value_counts(_named(ledger, account), [account], F.col(amount))
-    return kept(
-        grouped_quantiles(counts, [account], {"median": 0.5}, size="account_rows"), "medians")
+    medians = grouped_quantiles(
+        _named(ledger, account), [account], F.col(amount), {"median": 0.5}, size="account_rows")
+    return kept(medians, "medians")
 
 
 def account_spread(
     ledger: DataFrame, medians: DataFrame, amount: str = "amount", account: str = "account"
 ) -> DataFrame:
     """Median, row count and median absolute deviation (``mad``) per account."""
-    counts = value_counts(_named(ledger, account), [account], F.col(amount))
-    deviations = counts.join(medians, account).select(
-        account, F.abs(F.col("value") - F.col("median")).alias("value"), "n")
-    spread = grouped_quantiles(deviations, [account], {"mad": 0.5}).drop("group_rows")
+    deviation = F.abs(F.col(amount) - F.col("median"))
+    compared = ledger.select(account, amount).join(medians, account)
+    spread = grouped_quantiles(compared, [account], deviation, {"mad": 0.5}).drop("group_rows")
     return kept(medians.join(spread, account), "spread")
 
 
 def account_quartiles(
     ledger: DataFrame, amount: str = "amount", account: str = "account"
 ) -> DataFrame:
-    counts = value_counts(_named(ledger, account), [account], F.col(amount))
     shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    return kept(grouped_quantiles(counts, [account], shares, size="account_rows"), "quartiles")
+    quartiles = grouped_quantiles(
+        _named(ledger, account), [account], F.col(amount), shares, size="account_rows")
+    return kept(quartiles, "quartiles")
 
 
 def account_moments(

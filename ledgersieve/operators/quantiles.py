@@ -1,10 +1,11 @@
 """Exact quantiles per group for groups of any size.
 
 ``percentile`` and ``median`` gather all distinct values of a group in one task,
-so a group with a third of all rows would not fit. Here a group is counted into
-logarithmic bins first; the bins a wanted rank falls into are found from the
-counts, and only the values in those bins are ordered. The rows a task sees are
-then limited by the number of bins and by the width of one bin, not by the group.
+so a group with a third of all rows would not fit. Here the rows are counted into
+logarithmic bins first, which partial sums reduce to a few thousand counters per
+task; the bins a wanted rank falls into are found from the counters, and only the
+values in those bins are shuffled and ordered. What a task sees of one group is
+limited by the number of bins and by the width of one bin, not by the group.
 """
 
 from __future__ import annotations
@@ -19,16 +20,6 @@ BINS_PER_E_FOLD = 4096
 SHIFT = 800 * BINS_PER_E_FOLD
 
 
-def value_counts(rows: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Distinct values per group with their counts; counts combine before the shuffle."""
-    return (
-        rows.select(*keys, value.cast("double").alias("value"))
-        .filter(F.col("value").isNotNull())
-        .groupBy(*keys, "value")
-        .agg(F.count("*").alias("n"))
-    )
-
-
 def _bin(value: Column) -> Column:
     """Order-preserving: a greater value never falls into a lower bin."""
     size = F.floor(F.log(F.abs(value)) * BINS_PER_E_FOLD) + SHIFT
@@ -36,30 +27,28 @@ def _bin(value: Column) -> Column:
 
 
 def grouped_quantiles(
-    counts: DataFrame, keys: Sequence[str], shares: Mapping[str, float], size: str = "group_rows"
+    rows: DataFrame,
+    keys: Sequence[str],
+    value: Column,
+    shares: Mapping[str, float],
+    size: str = "group_rows",
 ) -> DataFrame:
     """One row per group: a column per wanted share, linearly interpolated, and the row count.
 
-    ``counts`` has the group columns, ``value`` and ``n``; a value may occur in several rows.
+    Rows without a value do not count. ``rows`` is read twice, each time only in the
+    columns needed.
     """
     keys = list(keys)
-    binned = counts.withColumn("bin", _bin(F.col("value")))
-    by_group = Window.partitionBy(*keys)
-    histogram = (
-        binned.groupBy(*keys, "bin")
-        .agg(F.sum("n").alias("bin_rows"))
-        .withColumn(
-            "up_to", F.sum("bin_rows").over(by_group.orderBy("bin").rowsBetween(
-                Window.unboundedPreceding, Window.currentRow))
-        )
-        .withColumn(size, F.sum("bin_rows").over(by_group))
-        .withColumn("below", F.col("up_to") - F.col("bin_rows"))
+    binned = (
+        rows.select(*keys, value.cast("double").alias("value"))
+        .filter(F.col("value").isNotNull())
+        .withColumn("bin", _bin(F.col("value")))
     )
 
     def position(share: float) -> Column:
         return F.lit(float(share)) * (F.col(size) - 1)
 
-    def inside(rank: Column) -> Column:
+    def covers(rank: Column) -> Column:
         return (rank >= F.col("below")) & (rank < F.col("up_to"))
 
     ranks = {
@@ -68,20 +57,33 @@ def grouped_quantiles(
     }
     wanted = F.lit(False)
     for low, high in ranks.values():
-        wanted = wanted | inside(low) | inside(high)
-    bins = histogram.filter(wanted).select(*keys, "bin", F.col("below").alias("bin_below"), size)
+        wanted = wanted | covers(low) | covers(high)
 
-    in_bin = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+    by_group = Window.partitionBy(*keys)
+    running = (Window.unboundedPreceding, Window.currentRow)
+    bins = (
+        binned.groupBy(*keys, "bin")
+        .agg(F.count("*").alias("n"))
+        .withColumn("up_to", F.sum("n").over(by_group.orderBy("bin").rowsBetween(*running)))
+        .withColumn(size, F.sum("n").over(by_group))
+        .withColumn("below", F.col("up_to") - F.col("n"))
+        .filter(wanted)
+        .select(*keys, "bin", F.col("below").alias("bin_below"), size)
+    )
+
+    in_bin = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(*running)
     ranked = (
         binned.join(bins, [*keys, "bin"])
+        .groupBy(*keys, "bin", "value")
+        .agg(F.count("*").alias("n"), F.max("bin_below").alias("bin_below"),
+             F.max(size).alias(size))
         .withColumn("up_to", F.col("bin_below") + F.sum("n").over(in_bin))
         .withColumn("below", F.col("up_to") - F.col("n"))
     )
     picks = []
     for name, (low, high) in ranks.items():
-        picks.append(F.max(F.when(inside(low), F.col("value"))).alias(f"{name}_low"))
-        picks.append(F.max(F.when(inside(high), F.col("value"))).alias(f"{name}_high"))
+        picks.append(F.max(F.when(covers(low), F.col("value"))).alias(f"{name}_low"))
+        picks.append(F.max(F.when(covers(high), F.col("value"))).alias(f"{name}_high"))
     picked = ranked.groupBy(*keys).agg(F.max(size).alias(size), *picks)
     return picked.select(
         *keys,
@@ -92,9 +94,9 @@ def grouped_quantiles(
 
 def _between(name: str, share: float, position: Column) -> Column:
     low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-    part = position - F.floor(position)
     if share == 0.5:
         return (low + high) / 2
+    part = position - F.floor(position)
     return F.when(part < 0.5, low + (high - low) * part).otherwise(
         high - (high - low) * (1 - part)
     )

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from ledgersieve.config import ScreenConfig
@@ -52,8 +54,17 @@ class Audit:
     def duplicate_rows(self) -> DataFrame:
         return duplicates.duplicate_payment_rows(self.ledger, self.cfg)
 
+    def write_shared_tables(self) -> None:
+        """Write the tables the row-level screens need, as jobs that run side by side."""
+        names = ["spread", "user_concentration", "roster", "overrepresented_digits"]
+        write = inheritable_thread_target(self.ledger.sparkSession)(
+            lambda name: getattr(self, name))
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(write, names))
+
     @cached_property
     def annotated(self) -> DataFrame:
+        self.write_shared_tables()
         return scoring.annotate(
             self.ledger, self.overrepresented_digits, self.spread, self.user_concentration,
             self.roster, self.cfg)

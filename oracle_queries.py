@@ -18,6 +18,12 @@ GLE = """gle as (
          printf('Customer#%09d', o_orderkey % 50) as "user", c_name as counterparty
   from orders left join customer on o_custkey = c_custkey)"""
 
+PO = """po as (
+  select cast(o_orderkey as varchar) as transaction_id, o_orderdate as date,
+         o_totalprice as amount, o_orderpriority as account, o_orderstatus as description,
+         printf('Customer#%09d', o_orderkey % 50) as "user"
+  from orders)"""
+
 LL = """ll as (
   select l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
            as transaction_id,
@@ -250,15 +256,16 @@ def tier_order(tiers) -> str:
         f"when '{label}' then {i}" for i, (_, label, _) in enumerate(tiers)) + " end"
 
 
-BENFORD_ROWS = """over as (
-  select digit from shares where actual_proportion - expected_proportion > 0.01),
+def benford_rows(tolerance: float) -> str:
+    return """over as (
+  select digit from shares where actual_proportion - expected_proportion > {tolerance}),
 benford as (
   select *, {reason} as flag_reason from leads where leading_digit in (select digit from over))
-""".format(reason=quoted(fv.BENFORD_REASON))
+""".format(reason=quoted(fv.BENFORD_REASON), tolerance=tolerance)
 
 # Every screen on the event ledger
 ALL = "with " + ",\n".join([
-    EV, digits("ev"), BENFORD_ROWS,
+    EV, digits("ev"), benford_rows(0.005),
     f"rounds as (select *, {ROUND_REASON} as flag_reason from (select *, {tier_case(EV_TIERS)} "
     "as roundness_tier from ev) where roundness_tier is not null)",
     modified_z("ev"), TIMING, related("ev"), duplicates("ev"),
@@ -350,13 +357,13 @@ select count(*) as total_rows_loaded,
 from messy"""
 
     # First digits
-    ev_digits = f"with {EV}, {digits('ev')}"
-    q["benford_digits"] = ev_digits + """
+    po_digits = f"with {PO}, {digits('po')}"
+    q["benford_digits"] = po_digits + """
 select digit, actual_count, actual_proportion, expected_proportion,
   round_even(actual_proportion * 100, 2) as actual_pct,
   round_even(expected_proportion * 100, 2) as expected_pct
 from shares"""
-    q["benford_stats"] = ev_digits + f""",
+    q["benford_stats"] = po_digits + f""",
 t as (
   select any_value(n) as n,
     sum((actual_count - expected_proportion * n) ** 2 / (expected_proportion * n)) as chi2,
@@ -373,13 +380,14 @@ select n as sample_size, n >= 300 as sample_size_reliable,
        when mad < 0.015 then 'Marginally acceptable conformity'
        else '{fv.NONCONFORMITY}' end as conformity_rating
 from u"""
-    q["benford_overrepresented"] = ev_digits + """
+    q["benford_overrepresented"] = po_digits + """
 select digit, round_even(actual_proportion * 100, 2) as actual_pct,
   round_even(expected_proportion * 100, 2) as expected_pct,
   round_even((actual_proportion - expected_proportion) * 100, 2) as excess_pct
 from shares where actual_proportion - expected_proportion > 0.01"""
-    q["benford_flagged"] = ev_digits + f""", {BENFORD_ROWS}
-select {EV_COLUMNS}, leading_digit, flag_reason from benford"""
+    q["benford_flagged"] = po_digits + f""", {benford_rows(0.01)}
+select transaction_id, date, amount, account, description, "user", leading_digit, flag_reason
+from benford"""
 
     # Duplicates
     q["exact_id_duplicates"] = f"""
