@@ -1,0 +1,97 @@
+import math
+
+import pytest
+
+from ledgersieve import ScreenConfig
+from ledgersieve.functions import scalars as s
+from ledgersieve.operators import benford, rounds
+from pyspark.sql import functions as F
+
+from tests.conftest import ids
+
+
+def amounts(frame, values):
+    return frame("transaction_id string, amount double",
+                 *((f"T{i}", v) for i, v in enumerate(values)))
+
+
+@pytest.mark.parametrize("amount, digit", [
+    (12345.0, 1), (984000.0, 9), (0.0521, 5), (-7300.0, 7), (3.0, 3), (0.0009, 9), (0.0, None),
+    (None, None), (0.0003, 3), (0.0006, 6), (1e-12, 1), (9.999e25, 9), (1e16, 1), (-0.0, None),
+    (float("nan"), None), (float("inf"), None)])
+def test_leading_digit(frame, amount, digit):
+    assert amounts(frame, [amount]).select(s.leading_digit(F.col("amount"))).first()[0] == digit
+
+
+def test_zero_and_missing_amounts_do_not_count(frame):
+    stats = benford.benford_stats(amounts(frame, [0.0, -500.0, 1000.0, None, 2000.0, -3000.0])).first()
+    assert stats["sample_size"] == 4
+    assert not stats["sample_size_reliable"] and "n=4" in stats["sample_size_warning"]
+
+
+def test_conforming_amounts(frame):
+    values = [10 ** (i / 500 * 4) for i in range(500)]
+    stats = benford.benford_stats(amounts(frame, values)).first()
+    assert stats["sample_size_reliable"] and stats["sample_size_warning"] is None
+    assert stats["conformity_rating"] == "Close conformity"
+    assert not stats["is_statistically_significant"] and stats["p_value"] > 0.9
+    shares = [r["actual_proportion"] for r in benford.benford_digits(amounts(frame, values)).collect()]
+    assert sum(shares) == pytest.approx(1)
+
+
+def test_statistics_against_plain_arithmetic(frame):
+    values = [float(d) for d in range(1, 10) for _ in range(d * 3)]
+    n, counts = len(values), {d: d * 3 for d in range(1, 10)}
+    share = {d: math.log10(1 + 1 / d) for d in counts}
+    chi2 = sum((counts[d] - share[d] * n) ** 2 / (share[d] * n) for d in counts)
+    mad = sum(abs(counts[d] / n - share[d]) for d in counts) / 9
+    stats = benford.benford_stats(amounts(frame, values)).first()
+    assert stats["chi2_statistic"] == pytest.approx(chi2, abs=1e-3)
+    assert stats["mad_score"] == pytest.approx(mad, abs=1e-5)
+    assert stats["conformity_rating"].startswith("Nonconformity")
+
+
+def test_overrepresented_digit_flags_its_transactions(frame):
+    rows = amounts(frame, [9.0 * 10**i for i in range(8)] + [1.0, 2.0])
+    assert [r["digit"] for r in benford.overrepresented_digits(rows).collect()] == [9]
+    flagged = benford.flag_benford(rows)
+    assert ids(flagged) == [f"T{i}" for i in range(8)]
+    assert {r["leading_digit"] for r in flagged.collect()} == {9}
+    assert flagged.columns[-2:] == ["leading_digit", "flag_reason"]
+
+
+def test_no_amounts_at_all(frame):
+    rows = amounts(frame, [0.0])
+    assert benford.benford_digits(rows).count() == 9
+    stats = benford.benford_stats(rows).first()
+    assert stats["sample_size"] == 0 and stats["mad_score"] is None
+    assert benford.flag_benford(rows).count() == 0
+
+
+@pytest.mark.parametrize("amount, tier", [
+    (1_000_000.0, 0), (2_000_000.0, 0), (500_000.0, 1), (200_000.0, 2), (30_000.0, 3),
+    (12_345.0, None), (97_500.0, None), (0.0, None), (-1_500_000.0, 1), (10_000.5, None)])
+def test_roundness(frame, amount, tier):
+    tiers = ScreenConfig().round_tiers
+    label = amounts(frame, [amount]).select(s.roundness_tier(F.col("amount"), tiers)).first()[0]
+    assert label == (None if tier is None else tiers[tier].label)
+
+
+def test_minimum_tier_hides_lower_tiers_without_moving_amounts(frame):
+    rows = amounts(frame, [30_000.0, 1_000_000.0, 200_000.0])
+    flagged = rounds.flag_round_numbers(rows, ScreenConfig(round_min_tier=100_000))
+    assert ids(flagged) == ["T1", "T2"]
+    assert all(r["flag_reason"].startswith("Round-number transaction: ") for r in flagged.collect())
+    with pytest.raises(ValueError):
+        rounds.flag_round_numbers(rows, ScreenConfig(round_min_tier=2_000_000))
+
+
+def test_round_summary(frame):
+    rows = amounts(frame, [30_000.0, 1_000_000.0, 40_000.0, 7.0])
+    summary = {r["roundness_tier"]: (r["total_flagged"], r["total_exposure"])
+               for r in rounds.summarize_round_numbers(rounds.flag_round_numbers(rows)).collect()}
+    tiers = ScreenConfig().round_tiers
+    assert summary == {rounds.ALL_TIERS: (3, 1_070_000.0), tiers[0].label: (1, 1_000_000.0),
+                       tiers[3].label: (2, 70_000.0)}
+    nothing = rounds.summarize_round_numbers(rounds.flag_round_numbers(amounts(frame, [7.0])))
+    assert nothing.collect() == [(rounds.ALL_TIERS, 0, 0.0)]

@@ -1,0 +1,153 @@
+import difflib
+import random
+
+import pytest
+
+from ledgersieve import ScreenConfig
+from ledgersieve.functions import scalars as s
+from ledgersieve.operators import parties, timing
+from pyspark.sql import functions as F
+
+from tests.conftest import at, ids
+
+SATURDAY, LATE, NORMAL = "2025-03-08T11:00", "2025-03-05T23:30", "2025-03-05T14:00"
+OPENING, CLOSING = "2025-03-05T08:00", "2025-03-05T18:00"
+
+
+def test_posting_times(ledger):
+    rows = ledger(*({"date": at(d)} for d in (SATURDAY, LATE, NORMAL, OPENING, CLOSING,
+                                              "2025-03-09T03:00", "2025-03-05T07:59:59")))
+    flagged = {r["transaction_id"]: r for r in timing.flag_timing_anomalies(rows).collect()}
+    assert sorted(flagged) == ["T0", "T1", "T4", "T5", "T6"]
+    assert flagged["T0"]["is_weekend"] and not flagged["T0"]["is_after_hours"]
+    assert flagged["T0"]["flag_reason"] == "Journal entry timing: posted on a weekend"
+    assert flagged["T5"]["flag_reason"] == (
+        "Journal entry timing: posted on a weekend and posted outside business hours (8:00-18:00)")
+
+
+def posted(user, normal, late):
+    return ([{"user": user, "date": at(NORMAL)}] * normal) + ([{"user": user, "date": at(LATE)}] * late)
+
+
+def test_concentrated_user_is_flagged(ledger):
+    rows = ledger(*posted("A", 10, 8), *posted("B", 50, 0))
+    users = {r["user"]: r for r in timing.user_concentration(rows).collect()}
+    assert users["A"]["flagged"] and users["A"]["concentration_ratio"] == 3.78
+    assert not users["B"]["flagged"] and users["B"]["concentration_ratio"] == 0
+    assert users["A"]["pct_of_total"] == 18 / 68 and users["A"]["pct_of_flagged"] == 1.0
+
+
+def test_high_ratio_with_few_entries_is_not_flagged(ledger):
+    rows = ledger(*posted("A", 5, 1), *posted("B", 50, 0))
+    user = timing.user_concentration(rows).filter("user = 'A'").first()
+    assert user["concentration_ratio"] > 2 and not user["flagged"]
+
+
+def test_rows_without_user_count_in_totals_only(ledger):
+    rows = ledger(*posted("A", 1, 1), *posted(None, 0, 2))
+    only, = timing.user_concentration(rows).collect()
+    assert (only["pct_of_total"], only["pct_of_flagged"]) == (0.5, 1 / 3)
+
+
+def test_high_risk_entries_belong_to_concentrated_users(ledger):
+    rows = ledger(*posted("A", 10, 8), *posted("B", 50, 1))
+    users = timing.user_concentration(rows)
+    flagged = timing.flag_timing_anomalies(rows)
+    assert flagged.count() == 9
+    risky = timing.high_risk_timing(flagged, users)
+    assert {r["user"] for r in risky.collect()} == {"A"} and risky.count() == 8
+    assert timing.timing_summary(rows, users).first() == (9, 0, 9, 1)
+    assert {r["user"] for r in timing.user_share_chart(users).collect()} == {"A", "B"}
+
+
+def test_without_users_or_odd_times(ledger):
+    rows = ledger({}, {}).drop("user")
+    users = timing.user_concentration(rows)
+    assert users.count() == 0 and "concentration_ratio" in users.columns
+    assert timing.high_risk_timing(timing.flag_timing_anomalies(rows), users).count() == 0
+    calm = timing.user_concentration(ledger(*posted("A", 3, 0))).first()
+    assert calm["concentration_ratio"] == 0 and calm["pct_of_flagged"] == 0
+
+
+@pytest.mark.parametrize("name, normal", [
+    ("  J.  Mushi  ", "j. mushi"), ("ASHA", "asha"), ("Straße", "strasse"),
+    ("a\tb c", "a b c"), ("", ""), (None, ""), ("ΟΔΟΣ", "οδοσ")])
+def test_names(frame, name, normal):
+    got = frame("n string", (name,)).select(s.normalised_name(F.col("n"))).first()[0]
+    assert got == normal
+    if name:
+        assert " ".join(name.strip().casefold().split()) == normal
+
+
+def test_related_parties(ledger):
+    rows = ledger({"user": "Alice", "counterparty": "  ALICE "},
+                  {"user": "Alice", "counterparty": "Bob"},
+                  {"user": "Bob", "counterparty": "Stranger"},
+                  {"user": None, "counterparty": "bob"},
+                  {"user": " ", "counterparty": " "},
+                  {"user": "Bob", "counterparty": None})
+    flagged = parties.flag_related_party(rows)
+    got = {r["transaction_id"]: r["related_party_category"] for r in flagged.collect()}
+    assert got == {"T0": "Self-dealing", "T1": "Staff as borrower", "T3": "Staff as borrower"}
+    assert {tuple(r) for r in parties.related_party_summary(flagged).collect()} == {
+        ("Self-dealing", 1), ("Staff as borrower", 2)}
+    roster = {r["normalized_name"]: r["staff_name"] for r in parties.staff_roster(rows).collect()}
+    assert roster == {"alice": "Alice", "bob": "Bob", "": " "}
+
+
+@pytest.mark.parametrize("missing", ["user", "counterparty"])
+def test_related_parties_need_both_columns(ledger, missing):
+    rows = ledger({"user": "Alice", "counterparty": "Alice"}).drop(missing)
+    assert parties.flag_related_party(rows).count() == 0
+    assert parties.flag_fuzzy_related_party(rows).count() == 0
+
+
+def test_near_matches(ledger):
+    rows = ledger({"user": "Alice", "counterparty": "Alise"},
+                  {"user": "Alice", "counterparty": "alice"},
+                  {"user": "Alice", "counterparty": "Zebedayo Kyaruzi"},
+                  {"user": "Bob", "counterparty": None})
+    row, = parties.flag_fuzzy_related_party(rows).collect()
+    assert row["transaction_id"] == "T0" and row["closest_staff_match"] == "Alice"
+    assert row["similarity_score"] == 0.8 and "'Alice' (similarity 80%)" in row["flag_reason"]
+
+
+def test_an_id_with_an_exact_match_is_not_a_candidate(ledger):
+    rows = ledger({"transaction_id": "X", "user": "Alice", "counterparty": "Alice"},
+                  {"transaction_id": "X", "user": "Alice", "counterparty": "Alise"},
+                  {"transaction_id": None, "user": "Alice", "counterparty": "Alise"})
+    assert [r["transaction_id"] for r in parties.flag_fuzzy_related_party(rows).collect()] == [None]
+
+
+def test_closest_staff_equals_scoring_everyone(spark, monkeypatch):
+    rng = random.Random(11)
+    first = ["asha", "neema", "juma", "rehema", "joseph", "josephine", "tide", "diet", "anna"]
+    last = ["mrema", "mremi", "kway", "lyimo", "lymo", "temba", "tembo", "ngowi", "bb"]
+    everyone = [f"{a} {b}" for a in first for b in last]
+    staff = rng.sample(everyone, 25) + ["tide", "x" * 250 + "tail"]
+    names = []
+    for name in everyone + ["tide", "diet", "", "x" * 250 + "tall", "q"]:
+        letters = list(name)
+        for _ in range(rng.randrange(3)):
+            if letters:
+                letters[rng.randrange(len(letters))] = rng.choice("abeimorst ")
+        names.append("".join(letters))
+    names = sorted(set(names) - {""})
+    # Several blocks on both sides, as with many names
+    monkeypatch.setattr(parties, "NAMES_PER_BLOCK", 17)
+    monkeypatch.setattr(parties, "STAFF_PER_BLOCK", 6)
+    got = {r["name"]: (r["normalized_name"], r["similarity"]) for r in parties.closest_staff(
+        spark.createDataFrame([(n,) for n in names], "name string"),
+        spark.createDataFrame([(n,) for n in staff], "normalized_name string"), 0.75).collect()}
+    expected = {}
+    for name in names:
+        match = difflib.get_close_matches(name, staff, n=1, cutoff=0.75)
+        if match:
+            expected[name] = (match[0], difflib.SequenceMatcher(None, name, match[0]).ratio())
+    assert expected and got == expected
+
+
+def test_config_is_used(ledger):
+    rows = ledger({"date": at("2025-03-05T19:00")})
+    assert timing.flag_timing_anomalies(rows, ScreenConfig(business_end_hour=20)).count() == 0
+    assert ids(timing.flag_timing_anomalies(rows)) == ["T0"]
