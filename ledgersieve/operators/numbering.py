@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKS = 512
+# Marks cut the order into ranges; they are searched in two steps of STRIDE comparisons.
+STRIDE = 16
+MARKS = STRIDE * STRIDE
 
 
 def consecutive_numbers(rows: DataFrame, order: str, number: str) -> DataFrame:
@@ -15,15 +17,22 @@ def consecutive_numbers(rows: DataFrame, order: str, number: str) -> DataFrame:
     the order into ranges of similar size. The choice depends on the data alone, so a
     task that is run again cuts in the same places.
     """
-    marks = (
-        rows.select(order)
-        .orderBy(F.xxhash64(order), order)
-        .limit(MARKS)
-        .agg(F.sort_array(F.collect_list(order)).alias("marks"))
+    chosen = rows.select(order).orderBy(F.xxhash64(order), order).limit(MARKS)
+    every_stride = F.transform(
+        F.sequence(F.lit(1), F.lit(STRIDE)), lambda i: F.try_element_at("marks", i * STRIDE))
+    marks = chosen.agg(F.sort_array(F.collect_list(order)).alias("marks")).select(
+        F.struct("marks", every_stride.alias("every_stride")))
+
+    def passed(candidates: Column) -> Column:
+        return F.size(F.filter(candidates, lambda mark: mark <= F.col(order)))
+
+    cut = (
+        rows.withColumn("cuts", marks.scalar())
+        .withColumn("strides", passed(F.col("cuts.every_stride")))
+        .withColumn("range_no", F.col("strides") * STRIDE + passed(
+            F.slice("cuts.marks", F.col("strides") * STRIDE + 1, STRIDE)))
+        .drop("cuts", "strides")
     )
-    cut = rows.withColumn("marks", marks.scalar()).withColumn(
-        "range_no", F.size(F.filter("marks", lambda mark: mark <= F.col(order)))
-    ).drop("marks")
     # At most MARKS + 1 rows, hence a window over all of them and a broadcast.
     before = (
         cut.groupBy("range_no")

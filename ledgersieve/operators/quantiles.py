@@ -20,10 +20,11 @@ BINS_PER_E_FOLD = 4096
 SHIFT = 800 * BINS_PER_E_FOLD
 
 
-def _bin(value: Column) -> Column:
-    """Order-preserving: a greater value never falls into a lower bin."""
-    size = F.floor(F.log(F.abs(value)) * BINS_PER_E_FOLD) + SHIFT
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
+# Order-preserving: a greater value never falls into a lower bin.
+BIN = f"""
+  CAST(CASE WHEN value > 0 THEN floor(ln(value) * {BINS_PER_E_FOLD}) + {SHIFT}
+            WHEN value < 0 THEN -(floor(ln(-value) * {BINS_PER_E_FOLD}) + {SHIFT})
+            ELSE 0 END AS BIGINT)"""
 
 
 def grouped_quantiles(
@@ -41,23 +42,16 @@ def grouped_quantiles(
     keys = list(keys)
     binned = (
         rows.select(*keys, value.cast("double").alias("value"))
-        .filter(F.col("value").isNotNull())
-        .withColumn("bin", _bin(F.col("value")))
+        .filter("value IS NOT NULL")
+        .withColumn("bin", F.expr(BIN))
     )
 
-    def position(share: float) -> Column:
-        return F.lit(float(share)) * (F.col(size) - 1)
+    def covers(share: float, side: str) -> str:
+        rank = f"{side}({share}D * ({size} - 1))"
+        return f"({rank} >= below AND {rank} < up_to)"
 
-    def covers(rank: Column) -> Column:
-        return (rank >= F.col("below")) & (rank < F.col("up_to"))
-
-    ranks = {
-        name: (F.floor(position(share)), F.ceil(position(share)))
-        for name, share in shares.items()
-    }
-    wanted = F.lit(False)
-    for low, high in ranks.values():
-        wanted = wanted | covers(low) | covers(high)
+    wanted = " OR ".join(
+        covers(share, side) for share in set(shares.values()) for side in ("floor", "ceil"))
 
     by_group = Window.partitionBy(*keys)
     running = (Window.unboundedPreceding, Window.currentRow)
@@ -80,23 +74,19 @@ def grouped_quantiles(
         .withColumn("up_to", F.col("bin_below") + F.sum("n").over(in_bin))
         .withColumn("below", F.col("up_to") - F.col("n"))
     )
-    picks = []
-    for name, (low, high) in ranks.items():
-        picks.append(F.max(F.when(covers(low), F.col("value"))).alias(f"{name}_low"))
-        picks.append(F.max(F.when(covers(high), F.col("value"))).alias(f"{name}_high"))
+    picks = [
+        F.expr(f"max(CASE WHEN {covers(share, side)} THEN value END) AS {name}_{side}")
+        for name, share in shares.items() for side in ("floor", "ceil")
+    ]
     picked = ranked.groupBy(*keys).agg(F.max(size).alias(size), *picks)
     return picked.select(
-        *keys,
-        size,
-        *(_between(name, share, position(share)).alias(name) for name, share in shares.items()),
-    )
+        *keys, size, *(F.expr(_between(name, share, size)) for name, share in shares.items()))
 
 
-def _between(name: str, share: float, position: Column) -> Column:
-    low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+def _between(name: str, share: float, size: str) -> str:
+    low, high = f"{name}_floor", f"{name}_ceil"
     if share == 0.5:
-        return (low + high) / 2
-    part = position - F.floor(position)
-    return F.when(part < 0.5, low + (high - low) * part).otherwise(
-        high - (high - low) * (1 - part)
-    )
+        return f"({low} + {high}) / 2 AS {name}"
+    part = f"({share}D * ({size} - 1) - floor({share}D * ({size} - 1)))"
+    return f"""CASE WHEN {part} < 0.5 THEN {low} + ({high} - {low}) * {part}
+                    ELSE {high} - ({high} - {low}) * (1 - {part}) END AS {name}"""

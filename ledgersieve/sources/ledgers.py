@@ -20,10 +20,12 @@ SCHEDULE_SCHEMA = T.StructType([
     T.StructField("schedule_outstanding_balance", T.DoubleType()),
 ])
 
-PLAIN_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-NOT_PART_OF_A_NUMBER = r"[^0-9.\-]"
+# A number as a program prints it, with an exponent if need be.
+PLAIN_NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
+# Everything but digits, point and minus, and the texts for "no number" that contain digits.
+NOT_PART_OF_A_NUMBER = r"^\s*-?1\.#(?:IND|QNAN)\s*$|[^0-9.\-]"
 # A date that starts like an ISO date; anything else needs a format of its own.
-ISO_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([T ].*)?$"
+ISO_DATE = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[T ].*)?)$"
 
 
 class DataValidationError(Exception):
@@ -86,19 +88,20 @@ def missing_to_null(column: Column) -> Column:
     return F.when(~F.trim(column).isin(fv.MISSING_TOKENS), column)
 
 
+# The parsers below name their column as rarely as they can: the filter that drops
+# unusable rows and the projection that keeps the values each evaluate them.
+
 def parse_date(column: Column, formats: Sequence[str] = ()) -> Column:
     """ISO dates first, then the caller's formats in order; null if none fits."""
-    text = F.trim(column)
-    iso = F.when(text.rlike(ISO_DATE), text.try_cast("timestamp_ntz"))
-    others = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    iso = F.regexp_extract(column, ISO_DATE, 1).try_cast("timestamp_ntz")
+    others = [F.try_to_timestamp(F.trim(column), F.lit(f)).cast("timestamp_ntz") for f in formats]
     return F.coalesce(iso, *others)
 
 
 def parse_amount(column: Column) -> Column:
     """A plain number as it is; otherwise the digits, point and minus that remain."""
-    plain = F.when(column.rlike(PLAIN_NUMBER), F.trim(column).try_cast("double"))
-    stripped = F.regexp_replace(column, NOT_PART_OF_A_NUMBER, "")
-    cleaned = F.when(stripped.rlike(PLAIN_NUMBER), stripped.try_cast("double"))
+    plain = F.regexp_extract(column, PLAIN_NUMBER, 1).try_cast("double")
+    cleaned = F.regexp_replace(column, NOT_PART_OF_A_NUMBER, "").try_cast("double")
     return F.coalesce(plain, cleaned)
 
 
@@ -108,8 +111,6 @@ def coerce_types(ledger: DataFrame, date_formats: Sequence[str] = ()) -> DataFra
 
     def typed(name: str) -> Column:
         column = F.col(name)
-        if types[name] == "string":
-            column = missing_to_null(column)
         if name == "date":
             if types[name] == "string":
                 return parse_date(column, date_formats)
@@ -119,7 +120,7 @@ def coerce_types(ledger: DataFrame, date_formats: Sequence[str] = ()) -> DataFra
                 return parse_amount(column)
             number = column.cast("double")
             return F.when(~F.isnan(number), number)
-        return column
+        return missing_to_null(column) if types[name] == "string" else column
 
     return ledger.select(*(typed(name).alias(name) for name in ledger.columns))
 
