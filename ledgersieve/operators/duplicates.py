@@ -88,6 +88,26 @@ def _no_rows(ledger: DataFrame) -> DataFrame:
     return ledger.filter(F.lit(False))
 
 
+def close_slots(
+    ledger: DataFrame,
+    cfg: ScreenConfig = ScreenConfig(),
+    amount: str = "amount",
+    date: str = "date",
+    counterparty: str = "counterparty",
+    account: str = "account",
+) -> DataFrame | None:
+    """Keys and time slots that hold duplicates, as a table of known size.
+
+    Where duplicates are rare the table is small and the ledger need not be shuffled to
+    find their rows. None without a counterparty column: account and amount alone repeat
+    too often for standard products.
+    """
+    if counterparty not in ledger.columns:
+        return None
+    return kept(
+        _close_slots(_keyed(ledger, cfg, amount, date, counterparty, account), cfg), "close-slots")
+
+
 def duplicate_payment_rows(
     ledger: DataFrame,
     cfg: ScreenConfig = ScreenConfig(),
@@ -95,18 +115,18 @@ def duplicate_payment_rows(
     date: str = "date",
     counterparty: str = "counterparty",
     account: str = "account",
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with the same counterparty, account and amount within the window of another.
 
     Like ``duplicate_payments`` but without group ids, which scoring does not need.
-    Without a counterparty column nothing is flagged: account and amount alone repeat
-    too often for standard products.
     """
-    if counterparty not in ledger.columns:
+    if slots is None:
+        slots = close_slots(ledger, cfg, amount, date, counterparty, account)
+    if slots is None:
         return _no_rows(ledger)
     keyed = _keyed(ledger, cfg, amount, date, counterparty, account)
-    return keyed.join(_close_slots(keyed, cfg), [*KEY, "slot"], "left_semi").select(
-        *ledger.columns)
+    return keyed.join(slots, [*KEY, "slot"], "left_semi").select(*ledger.columns)
 
 
 def duplicate_reason(cfg: ScreenConfig) -> Column:
@@ -120,16 +140,17 @@ def duplicate_payments(
     date: str = "date",
     counterparty: str = "counterparty",
     account: str = "account",
+    slots: DataFrame | None = None,
 ) -> DataFrame:
     """Potential duplicate payments with a group id per key, numbered in key-text order."""
-    if counterparty not in ledger.columns:
+    if slots is None:
+        slots = close_slots(ledger, cfg, amount, date, counterparty, account)
+    if slots is None:
         return _no_rows(ledger).withColumns({
             "duplicate_group_id": F.lit(None).cast("string"),
             "flag_reason": F.lit(None).cast("string"),
         })
     keyed = _keyed(ledger, cfg, amount, date, counterparty, account)
-    # Read three times below: for the marks, for the numbers and for the rows.
-    slots = kept(_close_slots(keyed, cfg), "close-slots")
     key_text = F.concat_ws("|", "key_party", "key_account", s.float_text(F.col("key_amount")))
     groups = consecutive_numbers(
         slots.select(*KEY).distinct().withColumn("key_text", key_text), "key_text", "group_no"

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgersieve.sources.kept import kept
+
 BINS_PER_E_FOLD = 4096
 # exp(-800) is below the smallest double, so shifted bins of positive values are positive
 SHIFT = 800 * BINS_PER_E_FOLD
@@ -37,7 +39,8 @@ def grouped_quantiles(
     """One row per group: a column per wanted share, linearly interpolated, and the row count.
 
     Rows without a value do not count. ``rows`` is read twice, each time only in the
-    columns needed.
+    columns needed. The wanted bins, a few rows per group, are written in between: the
+    planner then knows their size and, where it is small, leaves ``rows`` unshuffled.
     """
     keys = list(keys)
     binned = (
@@ -55,14 +58,15 @@ def grouped_quantiles(
 
     by_group = Window.partitionBy(*keys)
     running = (Window.unboundedPreceding, Window.currentRow)
-    bins = (
+    bins = kept(
         binned.groupBy(*keys, "bin")
         .agg(F.count("*").alias("n"))
         .withColumn("up_to", F.sum("n").over(by_group.orderBy("bin").rowsBetween(*running)))
         .withColumn(size, F.sum("n").over(by_group))
         .withColumn("below", F.col("up_to") - F.col("n"))
         .filter(wanted)
-        .select(*keys, "bin", F.col("below").alias("bin_below"), size)
+        .select(*keys, "bin", F.col("below").alias("bin_below"), size),
+        "bins",
     )
 
     in_bin = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(*running)

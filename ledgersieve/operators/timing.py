@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgersieve import fixed_values as fv
 from ledgersieve.config import ScreenConfig
 from ledgersieve.functions import scalars as s
+from ledgersieve.sources.kept import kept
 
 
 def timing_reason(cfg: ScreenConfig) -> Column:
@@ -37,14 +38,13 @@ def flag_timing_anomalies(
     )
 
 
-def user_concentration(
+def user_counts(
     ledger: DataFrame, cfg: ScreenConfig = ScreenConfig(), user: str = "user", date: str = "date"
 ) -> DataFrame:
-    """Each user's share of odd-time entries against the share of all entries."""
+    """Entries and odd-time entries per user; read twice by ``user_concentration``."""
     if user not in ledger.columns:
-        nobody = ledger.withColumn(user, F.lit(None).cast("string"))
-        return user_concentration(nobody, cfg, user, date)
-    per_user = (
+        ledger = ledger.withColumn(user, F.lit(None).cast("string"))
+    counts = (
         with_timing(ledger.select(user, date), cfg, date)
         .groupBy(user)
         .agg(
@@ -52,6 +52,14 @@ def user_concentration(
             F.count_if(F.col("is_weekend") | F.col("is_after_hours")).alias("flagged_transactions"),
         )
     )
+    return kept(counts, "user-counts")
+
+
+def user_concentration(
+    ledger: DataFrame, cfg: ScreenConfig = ScreenConfig(), user: str = "user", date: str = "date"
+) -> DataFrame:
+    """Each user's share of odd-time entries against the share of all entries."""
+    per_user = user_counts(ledger, cfg, user, date)
     # Rows without a user count in both totals but are not listed.
     whole = per_user.agg(
         F.struct(F.sum("total_transactions").alias("all_rows"),
@@ -73,11 +81,18 @@ def user_concentration(
     )
 
 
-def high_risk_timing(timing_flagged: DataFrame, users: DataFrame, user: str = "user") -> DataFrame:
+def concentrated_users(users: DataFrame, user: str = "user") -> DataFrame:
+    """The flagged users as a table of known size."""
+    return kept(users.filter("flagged").select(user), "concentrated-users")
+
+
+def high_risk_timing(
+    timing_flagged: DataFrame, concentrated: DataFrame, user: str = "user"
+) -> DataFrame:
     """Odd-time entries of users with a disproportionate share of them."""
     if user not in timing_flagged.columns:
         return timing_flagged.filter(F.lit(False))
-    return timing_flagged.join(users.filter("flagged").select(user), user, "left_semi").select(
+    return timing_flagged.join(concentrated.select(user), user, "left_semi").select(
         *timing_flagged.columns)
 
 

@@ -20,8 +20,8 @@ from ledgersieve.sources.kept import kept
 class Audit:
     """All results of one engagement, each built when it is first asked for.
 
-    Small tables several results depend on (account statistics, users, roster) and the
-    rated transactions are written to the shared folder once and read from there.
+    The tables several results depend on (account statistics, users, roster, findings)
+    and the rated transactions are written to the shared folder once and read from there.
     """
 
     ledger: DataFrame
@@ -44,7 +44,15 @@ class Audit:
 
     @cached_property
     def user_concentration(self) -> DataFrame:
-        return kept(timing.user_concentration(self.ledger, self.cfg), "users")
+        return timing.user_concentration(self.ledger, self.cfg)
+
+    @cached_property
+    def concentrated_users(self) -> DataFrame:
+        return timing.concentrated_users(self.user_concentration)
+
+    @cached_property
+    def close_slots(self) -> DataFrame | None:
+        return duplicates.close_slots(self.ledger, self.cfg)
 
     @cached_property
     def roster(self) -> DataFrame:
@@ -52,11 +60,11 @@ class Audit:
 
     @cached_property
     def duplicate_rows(self) -> DataFrame:
-        return duplicates.duplicate_payment_rows(self.ledger, self.cfg)
+        return duplicates.duplicate_payment_rows(self.ledger, self.cfg, slots=self.close_slots)
 
     def write_shared_tables(self) -> None:
         """Write the tables the row-level screens need, as jobs that run side by side."""
-        names = ["spread", "user_concentration", "roster", "overrepresented_digits"]
+        names = ["spread", "close_slots", "concentrated_users", "roster", "overrepresented_digits"]
         write = inheritable_thread_target(self.ledger.sparkSession)(
             lambda name: getattr(self, name))
         with ThreadPoolExecutor(len(names)) as pool:
@@ -66,9 +74,13 @@ class Audit:
     def annotated(self) -> DataFrame:
         self.write_shared_tables()
         return scoring.annotate(
-            self.ledger, self.overrepresented_digits, self.spread, self.user_concentration,
+            self.ledger, self.overrepresented_digits, self.spread, self.concentrated_users,
             self.roster, self.cfg)
 
+    @cached_property
+    def findings(self) -> DataFrame:
+        return kept(scoring.findings(self.annotated, self.duplicate_rows), "findings")
+
     # Screens
     @cached_property
     def benford_digits(self) -> DataFrame:
@@ -84,7 +96,7 @@ class Audit:
 
     @cached_property
     def duplicate_flagged(self) -> DataFrame:
-        return duplicates.duplicate_payments(self.ledger, self.cfg)
+        return duplicates.duplicate_payments(self.ledger, self.cfg, slots=self.close_slots)
 
     @cached_property
     def round_flagged(self) -> DataFrame:
@@ -100,7 +112,7 @@ class Audit:
 
     @cached_property
     def journal_high_risk(self) -> DataFrame:
-        return timing.high_risk_timing(self.timing_flagged, self.user_concentration)
+        return timing.high_risk_timing(self.timing_flagged, self.concentrated_users)
 
     @cached_property
     def related_party_flagged(self) -> DataFrame:
@@ -125,17 +137,17 @@ class Audit:
     # Score and consolidation
     @cached_property
     def contributions(self) -> DataFrame:
-        return scoring.risk_contributions(self.annotated, self.duplicate_rows, self.cfg)
+        return scoring.risk_contributions(self.findings, self.cfg)
 
     @cached_property
     def risk_scored(self) -> DataFrame:
-        scores = scoring.id_scores(self.annotated, self.duplicate_rows, self.cfg)
+        scores = scoring.id_scores(self.findings, self.cfg)
         return scoring.score(
             scoring.with_materiality(self.ledger, self.spread, self.cfg), scores)
 
     @cached_property
     def consolidated(self) -> DataFrame:
-        reasons = consolidation.flag_reasons(self.annotated, self.duplicate_rows, self.cfg)
+        reasons = consolidation.flag_reasons(self.findings, self.cfg)
         return consolidation.consolidate(self.ledger, reasons, self.cfg)
 
     # Reconciliation, if both tables are there

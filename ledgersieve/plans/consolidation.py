@@ -15,11 +15,12 @@ from ledgersieve.plans.scoring import ID, base_columns
 METHODS = list(fv.METHOD_TITLES)
 
 
-def _row_reasons(cfg: ScreenConfig) -> dict[str, Column]:
-    """Reason text of each row-level method on an annotated row, null if not flagged."""
+def _reasons(cfg: ScreenConfig) -> dict[str, Column]:
+    """Reason text of each method on a row of the findings, null if not flagged by it."""
     direction = F.col("outlier_direction")
     return {
         "benford": F.when(F.col("benford_hit"), F.lit(fv.BENFORD_REASON)),
+        "duplicate": F.when(F.col("duplicate_hit"), dup.duplicate_reason(cfg)),
         "round_number": rounds.round_reason(F.col("roundness_tier")),
         "outlier": outliers.outlier_reason("modified_zscore", F.col("account"), direction),
         "journal_entry": F.when(F.col("journal_hit"), timing.timing_reason(cfg)),
@@ -27,20 +28,14 @@ def _row_reasons(cfg: ScreenConfig) -> dict[str, Column]:
     }
 
 
-def flag_reasons(
-    annotated: DataFrame, duplicate_rows: DataFrame, cfg: ScreenConfig = ScreenConfig()
-) -> DataFrame:
+def flag_reasons(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
     """One row per transaction and method that flags it, with the reason."""
-    def entry(method: str, reason: Column) -> Column:
-        return F.when(reason.isNotNull(), F.struct(
+    entries = F.array(*(
+        F.when(reason.isNotNull(), F.struct(
             F.lit(METHODS.index(method)).alias("method_no"), reason.alias("reason")))
-
-    entries = F.array(*(entry(m, reason) for m, reason in _row_reasons(cfg).items()))
-    from_rows = annotated.select(ID, F.inline(F.filter(entries, lambda e: e.isNotNull())))
-    from_keys = duplicate_rows.select(
-        ID, F.lit(METHODS.index("duplicate")).alias("method_no"),
-        dup.duplicate_reason(cfg).alias("reason"))
-    return from_rows.unionByName(from_keys)
+        for method, reason in _reasons(cfg).items()
+    ))
+    return found.select(ID, F.inline(F.filter(entries, lambda entry: entry.isNotNull())))
 
 
 def consolidate(

@@ -37,17 +37,17 @@ def rating_breakdown(scored: DataFrame) -> DataFrame:
     return scored.agg(*(_rated(rating) for rating in fv.RATINGS)).select(F.inline(rows))
 
 
-def flags_by_method(annotated: DataFrame, duplicate_rows: DataFrame) -> DataFrame:
+def flags_by_method(found: DataFrame) -> DataFrame:
     """Rows flagged by each method, most first."""
     hits = {
         "benford": F.col("benford_hit"),
+        "duplicate": F.col("duplicate_hit"),
         "round_number": F.col("roundness_tier").isNotNull(),
         "outlier": F.col("outlier_direction").isNotNull(),
         "journal_entry": F.col("journal_hit"),
         "related_party": F.col("related_party_category").isNotNull(),
     }
-    counts = annotated.agg(*(F.count_if(hit).alias(m) for m, hit in hits.items())).withColumn(
-        "duplicate", duplicate_rows.agg(F.count("*")).scalar())
+    counts = found.agg(*(F.count_if(hit).alias(m) for m, hit in hits.items()))
     rows = F.array(*(
         F.struct(F.lit(title).alias("method"), F.col(m).alias("flagged_rows"))
         for m, title in fv.METHOD_TITLES.items()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from operator import add, or_
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ def annotate(
     ledger: DataFrame,
     digits: DataFrame,
     spread: DataFrame,
-    users: DataFrame,
+    concentrated: DataFrame,
     roster: DataFrame,
     cfg: ScreenConfig,
 ) -> DataFrame:
@@ -68,7 +68,7 @@ def annotate(
 
     rows = timing.with_timing(rows, cfg)
     if "user" in ledger.columns:
-        suspects = users.filter("flagged").select("user", F.lit(True).alias("user_hit"))
+        suspects = concentrated.select("user", F.lit(True).alias("user_hit"))
         rows = rows.join(suspects, "user", "left")
     else:
         rows = rows.withColumn("user_hit", F.lit(None).cast("boolean"))
@@ -89,6 +89,31 @@ def annotate(
     )
 
 
+# --- Findings: every flagged row once per source of the flag ---------------------
+
+def findings(annotated: DataFrame, duplicate_rows: DataFrame) -> DataFrame:
+    """The flagged rows, reduced to id, account and verdicts.
+
+    A row can occur twice: for the screens that look at the row, and as a duplicate.
+    """
+    hit = (
+        F.col("benford_hit") | F.col("journal_hit") | F.col("roundness_tier").isNotNull()
+        | F.col("outlier_direction").isNotNull() | F.col("related_party_category").isNotNull()
+    )
+    verdicts = ["benford_hit", "roundness_tier", "outlier_direction", "is_weekend",
+                "is_after_hours", "journal_hit", "related_party_category"]
+    types = dict(annotated.dtypes)
+    by_row = annotated.filter(hit).select(
+        ID, "account", *verdicts, F.lit(False).alias("duplicate_hit"))
+    by_key = duplicate_rows.select(
+        ID, "account",
+        *((F.lit(False) if types[v] == "boolean" else F.lit(None).cast("string")).alias(v)
+          for v in verdicts),
+        F.lit(True).alias("duplicate_hit"),
+    )
+    return by_row.unionByName(by_key)
+
+
 # --- Points ---------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -97,7 +122,7 @@ class Evidence:
 
     label: str
     points: int
-    holds: Column | None  # on an annotated row; None for duplicates, which need their key
+    holds: Column  # on a row of the findings
 
     @property
     def entry(self) -> str:
@@ -105,36 +130,30 @@ class Evidence:
 
 
 def evidence_kinds(cfg: ScreenConfig) -> list[Evidence]:
-    points, labels = fv.METHOD_POINTS, fv.RISK_LABELS
-    kinds = [
-        Evidence(labels["duplicate"], points["duplicate"], None),
-        Evidence(labels["outlier"], points["outlier"], F.col("outlier_direction").isNotNull()),
-        Evidence(labels["journal_entry"], points["journal_entry"], F.col("journal_hit")),
-        Evidence(labels["benford"], points["benford"], F.col("benford_hit")),
-    ]
+    holds = {
+        "duplicate": F.col("duplicate_hit"),
+        "outlier": F.col("outlier_direction").isNotNull(),
+        "journal_entry": F.col("journal_hit"),
+        "benford": F.col("benford_hit"),
+    }
+    kinds = [Evidence(fv.RISK_LABELS[m], fv.METHOD_POINTS[m], hit) for m, hit in holds.items()]
     for tier in cfg.round_tiers:
-        holds = F.coalesce(F.col("roundness_tier") == tier.label, F.lit(False))
-        kinds.append(Evidence(labels["round_number"] % tier.label, tier.points, holds))
-    for category, value in fv.RELATED_PARTY_POINTS.items():
-        holds = F.coalesce(F.col("related_party_category") == category, F.lit(False))
-        kinds.append(Evidence(labels["related_party"] % category, value, holds))
+        kinds.append(Evidence(fv.RISK_LABELS["round_number"] % tier.label, tier.points,
+                              F.col("roundness_tier").eqNullSafe(tier.label)))
+    for category, points in fv.RELATED_PARTY_POINTS.items():
+        kinds.append(Evidence(fv.RISK_LABELS["related_party"] % category, points,
+                              F.col("related_party_category").eqNullSafe(category)))
     return kinds
 
 
-def risk_contributions(
-    annotated: DataFrame, duplicates: DataFrame, cfg: ScreenConfig = ScreenConfig()
-) -> DataFrame:
+def risk_contributions(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
     """One row per transaction and piece of evidence."""
-    def entry(kind: Evidence) -> Column:
-        return F.struct(F.lit(kind.label).alias("label"), F.lit(kind.points).alias("points"))
-
-    kinds = evidence_kinds(cfg)
-    by_row = F.array(*(F.when(kind.holds, entry(kind)) for kind in kinds if kind.holds is not None))
-    from_rows = annotated.select(ID, F.inline(F.filter(by_row, lambda e: e.isNotNull())))
-    from_keys = duplicates.select(
-        ID, *(F.lit(value).alias(name) for name, value in
-              (("label", kinds[0].label), ("points", kinds[0].points))))
-    return from_rows.unionByName(from_keys)
+    entries = F.array(*(
+        F.when(kind.holds, F.struct(
+            F.lit(kind.label).alias("label"), F.lit(kind.points).alias("points")))
+        for kind in evidence_kinds(cfg)
+    ))
+    return found.select(ID, F.inline(F.filter(entries, lambda entry: entry.isNotNull())))
 
 
 def _times(kind: Evidence, count: Column, limit: int) -> Column:
@@ -145,31 +164,18 @@ def _times(kind: Evidence, count: Column, limit: int) -> Column:
         count > 0, spelled)
 
 
-def id_scores(
-    annotated: DataFrame, duplicates: DataFrame, cfg: ScreenConfig = ScreenConfig()
-) -> DataFrame:
+def id_scores(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
     """Points and breakdown per transaction id; repeated ids add up.
 
     The rows that meet in a group are reduced to one counter per kind of evidence, so
     the state of a group has a fixed size and is combined before the shuffle.
     """
-    kinds = evidence_kinds(cfg)
-    names = [f"count{i}" for i in range(len(kinds))]
-
-    def ones(kind: Evidence) -> Column:
-        return F.lit(0) if kind.holds is None else kind.holds.cast("int")
-
-    any_hit = reduce(or_, (kind.holds for kind in kinds if kind.holds is not None))
-    by_row = annotated.filter(any_hit & F.col(ID).isNotNull()).select(
-        ID, *(ones(kind).alias(name) for kind, name in zip(kinds, names)))
-    by_key = duplicates.filter(F.col(ID).isNotNull()).select(
-        ID, *(F.lit(1 if kind.holds is None else 0).alias(name)
-              for kind, name in zip(kinds, names)))
-    counted = by_row.unionByName(by_key).groupBy(ID).agg(
-        *(F.sum(name).alias(name) for name in names))
-    base = reduce(add, (F.col(name) * kind.points for kind, name in zip(kinds, names)))
+    kinds = {f"count{i}": kind for i, kind in enumerate(evidence_kinds(cfg))}
+    counted = found.filter(F.col(ID).isNotNull()).groupBy(ID).agg(
+        *(F.count_if(kind.holds).alias(name) for name, kind in kinds.items()))
+    base = reduce(add, (F.col(name) * kind.points for name, kind in kinds.items()))
     parts = [_times(kind, F.col(name), cfg.breakdown_repeat_limit)
-             for kind, name in zip(kinds, names)]
+             for name, kind in kinds.items()]
     return counted.select(
         ID, base.alias("base_score"), F.concat_ws("; ", *parts).alias("score_breakdown"))
 

@@ -29,7 +29,7 @@ def scored(rows, verdicts, duplicate_ids=(), cfg=ScreenConfig()):
     dups = rows.filter(F.col("transaction_id").isin(list(duplicate_ids)))
     medians = rows.groupBy("account").agg(F.percentile("amount", 0.5).alias("median"))
     with_factor = scoring.with_materiality(rows, medians, cfg)
-    result = scoring.score(with_factor, scoring.id_scores(marked, dups, cfg))
+    result = scoring.score(with_factor, scoring.id_scores(scoring.findings(marked, dups), cfg))
     return {r["transaction_id"]: r for r in result.collect()}
 
 
@@ -49,7 +49,8 @@ def test_weights_order_the_evidence(ledger):
     got = scored(four(ledger), {"T1": {"related_party_category": "Self-dealing"},
                                 "T2": {"related_party_category": "Staff as borrower"},
                                 "T3": {"roundness_tier": "unheard of"}})
-    assert got["T1"]["base_score"] == 45 and got["T2"]["base_score"] == 20 and "T3" not in got
+    assert got["T1"]["base_score"] == 45 and got["T2"]["base_score"] == 20
+    assert got["T3"]["base_score"] == 0 and got["T3"]["risk_rating"] == "Low"
 
 
 def test_breakdown_lists_evidence_in_order(ledger):
@@ -77,8 +78,8 @@ def test_repeated_ids_add_up_on_every_row(ledger):
     rows = ledger({"transaction_id": "A", "amount": 100.0}, {"transaction_id": "A", "amount": 300.0},
                   {"transaction_id": "B"}, {"transaction_id": None})
     marked = annotated(rows, {"A": {"benford_hit": True}, "B": {"benford_hit": True}})
-    result = scoring.score(
-        marked, scoring.id_scores(marked, rows.filter("transaction_id = 'A'")))
+    found = scoring.findings(marked, rows.filter("transaction_id = 'A'"))
+    result = scoring.score(marked, scoring.id_scores(found))
     got = [tuple(r) for r in result.filter("transaction_id = 'A'").select(
         "base_score", "score_breakdown").collect()]
     assert got == [(100, "Duplicate Payment (+40); Duplicate Payment (+40); "
@@ -90,10 +91,10 @@ def test_long_repeats_are_counted_instead_of_spelled(ledger):
     rows = ledger(*({"transaction_id": "A"} for _ in range(7)))
     marked = annotated(rows, {"A": {"benford_hit": True}})
     cfg = ScreenConfig(breakdown_repeat_limit=5)
-    row = scoring.id_scores(marked, rows.limit(0), cfg).first()
+    found = scoring.findings(marked, rows.limit(0))
+    row = scoring.id_scores(found, cfg).first()
     assert (row["base_score"], row["score_breakdown"]) == (70, "Benford's Law (+10) x7")
-    merged = consolidation.consolidate(
-        rows, consolidation.flag_reasons(marked, rows.limit(0), cfg), cfg)
+    merged = consolidation.consolidate(rows, consolidation.flag_reasons(found, cfg), cfg)
     assert merged.count() == 7 and merged.first()["flag_reasons"].endswith("distribution x7")
 
 
@@ -107,8 +108,9 @@ def test_materiality(ledger, frame, amount, account, factor):
 
 
 def test_nothing_flagged(ledger):
-    result = scoring.score(annotated(four(ledger), {}), scoring.id_scores(
-        annotated(four(ledger), {}), four(ledger).limit(0)))
+    marked = annotated(four(ledger), {})
+    result = scoring.score(marked, scoring.id_scores(
+        scoring.findings(marked, four(ledger).limit(0))))
     assert result.count() == 0 and "risk_rating" in result.columns
     assert reports.risk_summary(result).first() == (0, 0, 0, 0, 0, 0.0)
     assert [r["transactions"] for r in reports.rating_breakdown(result).collect()] == [0] * 4
@@ -120,7 +122,8 @@ def test_consolidation(ledger):
     marked = annotated(rows, {"A": {"benford_hit": True, "outlier_direction": "low"},
                               "B": {"journal_hit": True, "is_weekend": True}})
     marked = marked.withColumn("benford_hit", F.col("benford_hit") | F.col("transaction_id").isNull())
-    reasons = consolidation.flag_reasons(marked, rows.filter("transaction_id = 'A'"))
+    reasons = consolidation.flag_reasons(
+        scoring.findings(marked, rows.filter("transaction_id = 'A'")))
     got = {r["transaction_id"]: r for r in consolidation.consolidate(rows, reasons).collect()}
     assert set(got) == {"A", "B", None}
     a = got["A"]
@@ -217,7 +220,7 @@ def test_reports(audit):
     trend = reports.monthly_trend(audit.risk_scored).collect()
     assert sum(r["critical"] + r["high"] + r["medium"] + r["low"] for r in trend) == scored_rows
     by_method = {r["method"]: r["flagged_rows"] for r in
-                 reports.flags_by_method(audit.annotated, audit.duplicate_rows).collect()}
+                 reports.flags_by_method(audit.findings).collect()}
     assert by_method["Duplicate Payments"] == 2 and by_method["Journal Entry Timing"] == 6
     assert set(audit.flagged_sets) == {
         "flagged_benford", "flagged_duplicate", "flagged_round_number", "flagged_outlier",

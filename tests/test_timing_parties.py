@@ -54,7 +54,7 @@ def test_high_risk_entries_belong_to_concentrated_users(ledger):
     users = timing.user_concentration(rows)
     flagged = timing.flag_timing_anomalies(rows)
     assert flagged.count() == 9
-    risky = timing.high_risk_timing(flagged, users)
+    risky = timing.high_risk_timing(flagged, timing.concentrated_users(users))
     assert {r["user"] for r in risky.collect()} == {"A"} and risky.count() == 8
     assert timing.timing_summary(rows, users).first() == (9, 0, 9, 1)
     assert {r["user"] for r in timing.user_share_chart(users).collect()} == {"A", "B"}
@@ -64,7 +64,8 @@ def test_without_users_or_odd_times(ledger):
     rows = ledger({}, {}).drop("user")
     users = timing.user_concentration(rows)
     assert users.count() == 0 and "concentration_ratio" in users.columns
-    assert timing.high_risk_timing(timing.flag_timing_anomalies(rows), users).count() == 0
+    assert timing.high_risk_timing(
+        timing.flag_timing_anomalies(rows), timing.concentrated_users(users)).count() == 0
     calm = timing.user_concentration(ledger(*posted("A", 3, 0))).first()
     assert calm["concentration_ratio"] == 0 and calm["pct_of_flagged"] == 0
 
