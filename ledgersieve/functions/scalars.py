@@ -12,6 +12,7 @@ from ledgersieve import fixed_values as fv
 from ledgersieve.config import RoundTier, ScreenConfig
 
 MICROS_PER_DAY = 86_400_000_000
+ASCII_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
 
 def rint_to(value: Column, places: int) -> Column:
@@ -62,9 +63,15 @@ def roundness_tier(amount: Column, tiers: Sequence[RoundTier]) -> Column:
 
 def normalised_name(name: Column) -> Column:
     """Case-folded name with single blanks; '' for missing."""
-    lowered = F.translate(F.lower(name.cast("string")), *fv.FOLDED_LETTERS)
-    folded = F.replace(lowered, F.lit(fv.SHARP_S), F.lit("ss"))
-    return F.coalesce(F.trim(F.regexp_replace(folded, r"(?U)\s+", " ")), F.lit(""))
+    text = name.cast("string")
+    lowered = F.lower(text)
+    folded = F.replace(F.translate(lowered, *fv.FOLDED_LETTERS), F.lit(fv.SHARP_S), F.lit("ss"))
+    blanked = F.trim(F.regexp_replace(folded, r"(?U)[\s\x1c-\x1f]+", " "))
+    # Most names need no more than lower case, which a few byte searches tell.
+    plain = (F.octet_length(text) == F.length(text)) & ~text.startswith(" ") & ~text.endswith(" ")
+    for blank in ("  ", *ASCII_BLANKS):
+        plain = plain & ~text.contains(blank)
+    return F.coalesce(F.when(plain, lowered).otherwise(blanked), F.lit(""))
 
 
 def is_weekend(date: Column) -> Column:

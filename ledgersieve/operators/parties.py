@@ -23,11 +23,17 @@ def staff_roster(ledger: DataFrame, user: str = "user") -> DataFrame:
     """Distinct normalised user names with one original spelling each (the greatest)."""
     if user not in ledger.columns:
         ledger = ledger.withColumn(user, F.lit(None).cast("string"))
-    # Distinct spellings first, so that each is normalised once and not once per row.
-    spellings = ledger.filter(F.col(user).isNotNull()).select(F.col(user).cast("string")).distinct()
-    return spellings.groupBy(
-        s.normalised_name(F.col(user)).alias("normalized_name")
-    ).agg(F.max(user).alias("staff_name"))
+    return roster_of(kept(ledger.select(user).distinct(), "users"), user)
+
+
+def roster_of(users: DataFrame, user: str = "user") -> DataFrame:
+    """The roster of a table with one row per user: each name is normalised once."""
+    name = F.col(user).cast("string")
+    return (
+        users.filter(F.col(user).isNotNull())
+        .groupBy(s.normalised_name(name).alias("normalized_name"))
+        .agg(F.max(name).alias("staff_name"))
+    )
 
 
 def related_reason(category: Column) -> Column:

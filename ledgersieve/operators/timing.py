@@ -56,10 +56,15 @@ def user_counts(
 
 
 def user_concentration(
-    ledger: DataFrame, cfg: ScreenConfig = ScreenConfig(), user: str = "user", date: str = "date"
+    ledger: DataFrame,
+    cfg: ScreenConfig = ScreenConfig(),
+    user: str = "user",
+    date: str = "date",
+    per_user: DataFrame | None = None,
 ) -> DataFrame:
     """Each user's share of odd-time entries against the share of all entries."""
-    per_user = user_counts(ledger, cfg, user, date)
+    if per_user is None:
+        per_user = user_counts(ledger, cfg, user, date)
     # Rows without a user count in both totals but are not listed.
     whole = per_user.agg(
         F.struct(F.sum("total_transactions").alias("all_rows"),

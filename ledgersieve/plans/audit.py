@@ -42,9 +42,13 @@ class Audit:
     def spread(self) -> DataFrame:
         return outliers.account_spread(self.ledger, self.medians)
 
+    @cached_property
+    def user_counts(self) -> DataFrame:
+        return timing.user_counts(self.ledger, self.cfg)
+
     @cached_property
     def user_concentration(self) -> DataFrame:
-        return timing.user_concentration(self.ledger, self.cfg)
+        return timing.user_concentration(self.ledger, self.cfg, per_user=self.user_counts)
 
     @cached_property
     def concentrated_users(self) -> DataFrame:
@@ -56,7 +60,7 @@ class Audit:
 
     @cached_property
     def roster(self) -> DataFrame:
-        return kept(parties.staff_roster(self.ledger), "roster")
+        return kept(parties.roster_of(self.user_counts), "roster")
 
     @cached_property
     def duplicate_rows(self) -> DataFrame:
@@ -64,11 +68,16 @@ class Audit:
 
     def write_shared_tables(self) -> None:
         """Write the tables the row-level screens need, as jobs that run side by side."""
-        names = ["spread", "close_slots", "concentrated_users", "roster", "overrepresented_digits"]
-        write = inheritable_thread_target(self.ledger.sparkSession)(
-            lambda name: getattr(self, name))
-        with ThreadPoolExecutor(len(names)) as pool:
-            list(pool.map(write, names))
+        chains = [["spread"], ["close_slots"], ["concentrated_users", "roster"],
+                  ["overrepresented_digits"]]
+
+        @inheritable_thread_target(self.ledger.sparkSession)
+        def write(chain: list[str]) -> None:
+            for name in chain:
+                getattr(self, name)
+
+        with ThreadPoolExecutor(len(chains)) as pool:
+            list(pool.map(write, chains))
 
     @cached_property
     def annotated(self) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from ledgersieve import ScreenConfig
-from ledgersieve.operators import outliers
+from ledgersieve.operators import outliers, quantiles
 from ledgersieve.operators.quantiles import grouped_quantiles
 from pyspark.sql import functions as F
 
@@ -83,7 +83,10 @@ SHAPES = {
 }
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.mark.parametrize("rows_per_bin", [1_000_000, 20, 0])
+def test_quantiles_equal_numpy(spark, monkeypatch, rows_per_bin):
+    # Smaller limits force one or all of the finer counts
+    monkeypatch.setattr(quantiles, "ROWS_PER_BIN", rows_per_bin)
     rng = np.random.default_rng(3)
     data = {name: shape(rng) for name, shape in SHAPES.items()}
     rows = spark.createDataFrame(
