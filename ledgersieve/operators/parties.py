@@ -49,9 +49,10 @@ def _has_both(ledger: DataFrame, user: str, counterparty: str) -> bool:
 def with_related_party(
     ledger: DataFrame, roster: DataFrame, user: str = "user", counterparty: str = "counterparty"
 ) -> DataFrame:
-    """Add ``related_party_category``, null where the counterparty is not staff."""
+    """Add ``is_staff`` for the counterparty and, where it is, ``related_party_category``."""
     if not _has_both(ledger, user, counterparty):
-        return ledger.withColumn("related_party_category", F.lit(None).cast("string"))
+        return ledger.withColumns({
+            "is_staff": F.lit(False), "related_party_category": F.lit(None).cast("string")})
     party = s.normalised_name(F.col(counterparty))
     staff = roster.filter(F.col("normalized_name") != "").select("normalized_name")
     category = F.when(
@@ -60,7 +61,10 @@ def with_related_party(
         F.col("normalized_name") == s.normalised_name(F.col(user)), fv.SELF_DEALING
     ).otherwise(fv.STAFF_AS_BORROWER)
     return ledger.join(staff, party == F.col("normalized_name"), "left").select(
-        *ledger.columns, category.alias("related_party_category"))
+        *ledger.columns,
+        F.col("normalized_name").isNotNull().alias("is_staff"),
+        category.alias("related_party_category"),
+    )
 
 
 def flag_related_party(
@@ -73,7 +77,8 @@ def flag_related_party(
         roster = kept(staff_roster(ledger, user), "roster")
     return (
         with_related_party(ledger, roster, user, counterparty)
-        .filter(F.col("related_party_category").isNotNull())
+        .filter("is_staff")
+        .drop("is_staff")
         .withColumn("flag_reason", related_reason(F.col("related_party_category")))
     )
 

@@ -75,16 +75,23 @@ def annotate(
     odd_time = F.col("is_weekend") | F.col("is_after_hours")
 
     rows = parties.with_related_party(rows, roster)
+    digit_hit, user_hit = F.col("digit_hit").isNotNull(), F.col("user_hit").isNotNull()
+    # Stated on the join marks, so that the filter on it does not classify rows once more
+    any_hit = (
+        digit_hit | (odd_time & user_hit) | F.col("roundness_tier").isNotNull()
+        | F.col("outlier_direction").isNotNull() | F.col("is_staff")
+    )
     return rows.select(
         *ledger.columns,
         "materiality_factor",
-        F.coalesce("digit_hit", F.lit(False)).alias("benford_hit"),
+        any_hit.alias("any_hit"),
+        digit_hit.alias("benford_hit"),
         "roundness_tier",
         "outlier_direction",
         "is_weekend",
         "is_after_hours",
         odd_time.alias("timing_hit"),
-        (odd_time & F.coalesce("user_hit", F.lit(False))).alias("journal_hit"),
+        (odd_time & user_hit).alias("journal_hit"),
         "related_party_category",
     )
 
@@ -96,14 +103,10 @@ def findings(annotated: DataFrame, duplicate_rows: DataFrame) -> DataFrame:
 
     A row can occur twice: for the screens that look at the row, and as a duplicate.
     """
-    hit = (
-        F.col("benford_hit") | F.col("journal_hit") | F.col("roundness_tier").isNotNull()
-        | F.col("outlier_direction").isNotNull() | F.col("related_party_category").isNotNull()
-    )
     verdicts = ["benford_hit", "roundness_tier", "outlier_direction", "is_weekend",
                 "is_after_hours", "journal_hit", "related_party_category"]
     types = dict(annotated.dtypes)
-    by_row = annotated.filter(hit).select(
+    by_row = annotated.filter("any_hit").select(
         ID, "account", *verdicts, F.lit(False).alias("duplicate_hit"))
     by_key = duplicate_rows.select(
         ID, "account",

@@ -21,7 +21,13 @@ def annotated(rows, verdicts):
             if name in given:
                 column = F.when(F.col("transaction_id") == tid, F.lit(given[name])).otherwise(column)
         rows = rows.withColumn(name, column.cast(TYPES.get(name, "boolean")))
-    return rows
+    return with_any_hit(rows)
+
+
+def with_any_hit(rows):
+    return rows.withColumn("any_hit", F.expr(
+        "benford_hit or journal_hit or roundness_tier is not null or outlier_direction is not null "
+        "or related_party_category is not null"))
 
 
 def scored(rows, verdicts, duplicate_ids=(), cfg=ScreenConfig()):
@@ -122,6 +128,7 @@ def test_consolidation(ledger):
     marked = annotated(rows, {"A": {"benford_hit": True, "outlier_direction": "low"},
                               "B": {"journal_hit": True, "is_weekend": True}})
     marked = marked.withColumn("benford_hit", F.col("benford_hit") | F.col("transaction_id").isNull())
+    marked = with_any_hit(marked)
     reasons = consolidation.flag_reasons(
         scoring.findings(marked, rows.filter("transaction_id = 'A'")))
     got = {r["transaction_id"]: r for r in consolidation.consolidate(rows, reasons).collect()}
