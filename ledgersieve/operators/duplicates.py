@@ -159,7 +159,8 @@ def duplicate_payments(
         F.concat(F.lit(fv.DUPLICATE_GROUP_PREFIX), F.col("group_no").cast("string"))
         .alias("duplicate_group_id"),
     )
-    return keyed.join(slots.join(groups, KEY), [*KEY, "slot"]).select(
+    numbered = kept(slots.join(groups, KEY), "numbered-slots")
+    return keyed.join(numbered, [*KEY, "slot"]).select(
         *ledger.columns, "duplicate_group_id", duplicate_reason(cfg).alias("flag_reason"))
 
 
