@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
-from ledgersieve.llm import boosted_rules, bpe_counts, simhash, weak_quality
+from ledgersieve.llm import (
+    boosted_rules, bpe_counts, packing, pieces, pii, secret_scan, simhash, weak_quality,
+)
 from ledgersieve.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,12 +29,26 @@ def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
         documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digests(packing.pack(
+        documents(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(
+        documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_weak_quality": lambda spark, folder: weak_quality.classify(documents(spark, folder)),
+        "op3_packed_rows": _packed,
         "op4_boosted_rules": _rules,
+        "op5_personal_data": lambda spark, folder: pii.detect(documents(spark, folder)),
         "op6_simhash_components": lambda spark, folder: simhash.components(documents(spark, folder)),
         "op7_token_counts": _token_counts,
+        "op8_pieces": _pieces,
+        "op9_secrets": lambda spark, folder: secret_scan.scan(documents(spark, folder)),
     }
 
 
