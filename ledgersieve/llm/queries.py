@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from ledgersieve.llm import (
-    boosted_rules, bpe_counts, packing, pieces, pii, secret_scan, simhash, weak_quality,
+    boosted_rules, bpe_counts, decontaminate, packing, pieces, pii, secret_scan, simhash, weak_quality,
 )
 from ledgersieve.llm.common import documents
 
@@ -39,9 +39,15 @@ def _pieces(spark: SparkSession, folder: str) -> DataFrame:
         documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(
+        documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_weak_quality": lambda spark, folder: weak_quality.classify(documents(spark, folder)),
+        "op2_decontamination": _leaks,
         "op3_packed_rows": _packed,
         "op4_boosted_rules": _rules,
         "op5_personal_data": lambda spark, folder: pii.detect(documents(spark, folder)),
