@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from ledgersieve.llm import (
-    boosted_rules, bpe_counts, decontaminate, packing, pieces, pii, secret_scan, simhash, weak_quality,
+    boosted_rules, bpe_counts, decontaminate, packing, passages, pieces, pii, secret_scan, simhash, weak_quality,
 )
 from ledgersieve.llm.common import documents
 
@@ -55,6 +55,7 @@ def queries() -> dict[str, Query]:
         "op7_token_counts": _token_counts,
         "op8_pieces": _pieces,
         "op9_secrets": lambda spark, folder: secret_scan.scan(documents(spark, folder)),
+        "op10_repeated_passages": lambda spark, folder: passages.repeats(documents(spark, folder)),
     }
 
 
