@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersieve.llm.common import map_texts
+from ledgersieve.llm.common import map_texts, pick
 from ledgersieve.llm.statistics import NAMES, statistics
 from ledgersieve.sources.kept import kept
 
@@ -52,7 +52,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     def start():
         return lambda texts: list(map(list, zip(*[statistics(t) for t in texts], strict=True)))
     made = ", ".join(f"{name} long" for name in NAMES)
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"], made, start)
+    return map_texts(pick(docs, "doc_id", "text"), ["doc_id"], made, start)
 
 
 def features(rows: pd.DataFrame) -> np.ndarray:
@@ -170,7 +170,7 @@ def fit(x: np.ndarray, y: np.ndarray, cfg: RulesConfig) -> dict[str, np.ndarray]
 
 def train(stats: DataFrame, labels: DataFrame, cfg: RulesConfig = RulesConfig()):
     """Node arrays fitted on labelled documents, or None without labels."""
-    told = (labels.where("doc_id is not null and quality is not null")
+    told = (pick(labels, "doc_id", "quality").where("doc_id is not null and quality is not null")
             .groupBy("doc_id").agg(F.avg("quality").alias("__good")))
     part = min(1.0, cfg.training_rows / max(told.count(), 1))
     told = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(part * (1 << 30)))

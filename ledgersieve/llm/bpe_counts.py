@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from ledgersieve.llm.common import map_texts, vocabulary
+from ledgersieve.llm.common import map_texts, pick, vocabulary
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -182,5 +182,5 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
                     [n > limit for n in tokens]]
         return work
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"],
+    return map_texts(pick(docs, "doc_id", "text"), ["doc_id"],
                      "n_bytes long, n_tokens long, over_limit boolean", start)

@@ -23,6 +23,21 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def renamed(docs: DataFrame, needed: Sequence[str] = ("doc_id", "text")) -> DataFrame:
+    """``docs`` with every column but the needed ones named by its place.
+
+    Operators that hand all columns on work under these names, so that no column of the
+    caller's can clash with theirs, and give the old names back with ``toDF``.
+    """
+    places = {docs.columns.index(name): name for name in needed if name in docs.columns}
+    return docs.toDF(*[places.get(i, f"extra{i}") for i in range(len(docs.columns))])
+
+
+def pick(docs: DataFrame, *needed: str) -> DataFrame:
+    """The needed columns only, also where other columns differ from them only in case."""
+    return renamed(docs, needed).select(*needed)
+
+
 def words(text: str | None) -> list[bytes]:
     """Maximal runs of anything but space and the characters from tab to carriage return."""
     return text.encode("utf-8", "replace").split() if text else []

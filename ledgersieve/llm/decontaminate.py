@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgersieve.llm.common import text_key
+from ledgersieve.llm.common import pick, renamed, text_key
 from ledgersieve.sources.kept import kept
 
 SHINGLE = 5
@@ -60,7 +60,7 @@ def shingles(text: Column, width: int) -> Column:
 
 def _items(items: DataFrame) -> DataFrame:
     """Distinct item texts with words: key, number of words, width and hashes of shingles."""
-    sized = (items.select("text", text_key(F.col("text")).alias("__item"))
+    sized = (pick(items, "text").select("text", text_key(F.col("text")).alias("__item"))
              .dropDuplicates(["__item"]).withColumn("__size", F.size(word_array(F.col("text"))))
              .where("__size > 0"))
     by_width = F.coalesce(*[F.when(F.least("__size", F.lit(SHINGLE)) == width,
@@ -158,14 +158,14 @@ def passages(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("text", text_key(F.col("text")).alias("__key"))
+    return pick(docs, "text").select("text", text_key(F.col("text")).alias("__key"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, start_word, n_words and similarity for every passage found."""
     found = kept(passages(_keyed(docs), items), "passages")
-    names = items.select("item_id", text_key(F.col("text")).alias("__item"))
-    return (docs.select("doc_id", text_key(F.col("text")).alias("__key"))
+    names = pick(items, "item_id", "text").select("item_id", text_key(F.col("text")).alias("__item"))
+    return (pick(docs, "doc_id", "text").select("doc_id", text_key(F.col("text")).alias("__key"))
             .join(found.join(names, "__item"), "__key")
             .select("doc_id", "item_id", F.col("__start").alias("start_word"),
                     F.col("__size").alias("n_words"), F.col("__similarity").alias("similarity")))
@@ -174,5 +174,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark passage."""
     found = kept(passages(_keyed(docs), items).select("__key").distinct(), "leaks")
-    keyed = docs.withColumn("__leak_key", text_key(F.col("text")))
-    return keyed.join(found, keyed["__leak_key"] == found["__key"], "left_anti").select(*docs.columns)
+    own = renamed(docs)
+    keyed = own.withColumn("__leak_key", text_key(F.col("text")))
+    return keyed.join(found, keyed["__leak_key"] == found["__key"], "left_anti").select(*own.columns).toDF(*docs.columns)

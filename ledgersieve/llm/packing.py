@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ledgersieve.llm.common import slices, vocabulary
+from ledgersieve.llm.common import pick, slices, vocabulary
 from ledgersieve.shipping import ship_package
 
 #: Fixed value: how byte-level BPE cuts a text before merging.
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, path: str, cfg: PackingConfig = PackingConfig()) -> Da
         if held:
             yield batch(_pack(held, cfg, end, f"{task}-{buffers}"))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return pick(docs, "doc_id", "text").mapInArrow(run, schema)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

@@ -29,7 +29,7 @@ from os.path import commonprefix
 import numpy as np
 from pyspark.sql import DataFrame
 
-from ledgersieve.llm.common import map_texts, vocabulary
+from ledgersieve.llm.common import map_texts, pick, vocabulary
 
 MARK = "▁"
 UNKNOWN_SIGN = " ⁇ "
@@ -224,14 +224,19 @@ class PieceCoder:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and the piece ids of each row's text."""
+    """doc_id, the piece ids of each row's text, and whether they decode to it again."""
     file = vocabulary(docs.sparkSession, path)
 
     def start():
         coder = PieceCoder(file.value)
-        return lambda texts: [coder.encode(texts)]
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"], "ids array<int>", start)
+        def work(texts):
+            coded = coder.encode(texts)
+            return [coded, [coder.decode(ids.tolist()) == (t or "").replace(MARK, " ")
+                            for ids, t in zip(coded, texts, strict=True)]]
+        return work
+
+    return map_texts(pick(docs, "doc_id", "text"), ["doc_id"], "ids array<int>, same_text boolean", start)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -256,5 +261,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             ]
         return work
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"],
+    return map_texts(pick(docs, "doc_id", "text"), ["doc_id"],
                      "n_pieces long, ids_sha256 string, text_sha256 string, same_text boolean", start)

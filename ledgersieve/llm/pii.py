@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgersieve.llm.common import pick, renamed
+
 # Kinds in the order they are listed, the base ones first.
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "ssn", "local_phone")
@@ -177,7 +179,7 @@ def _written(kinds: tuple[str, ...]) -> Column:
 
 def detect(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, digest of their spans, and all spans, for each row."""
-    rows = with_spans(docs, ["doc_id"])
+    rows = with_spans(pick(docs, "doc_id", "text"), ["doc_id"])
     counts = [F.size(f"__{kind}").cast("long").alias(f"n_{kind}") for kind in BASE]
     return rows.select("doc_id", *counts, F.sha2(_written(BASE), 256).alias("base_sha256"),
                        _written(BASE + ADDED).alias("spans"))
@@ -189,7 +191,8 @@ def mask(docs: DataFrame) -> DataFrame:
     Of spans that overlap, the first is replaced and what the others reach beyond it goes
     with it. A column named n_chars is set to the new length.
     """
-    rows = with_spans(docs, list(docs.columns))
+    own = renamed(docs, ("doc_id", "text", "n_chars"))
+    rows = with_spans(own, list(own.columns))
     text = F.col("__text")
     spans = F.array_sort(F.transform(
         F.concat(*[F.col(f"__{kind}") for kind in KINDS]),
@@ -205,8 +208,9 @@ def mask(docs: DataFrame) -> DataFrame:
     masked = F.when(F.col("text").isNull(), F.lit(None).cast("string")).when(
         F.size(spans) == 0, F.col("text")).otherwise(clean)
     out = rows.withColumn("__masked", masked)
-    kinds = dict(docs.dtypes)
+    kinds = dict(own.dtypes)
     made = {"text": F.col("__masked")}
     if "n_chars" in kinds:
         made["n_chars"] = F.length("__masked").cast(kinds["n_chars"])
-    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in own.columns]
+                      ).toDF(*docs.columns)

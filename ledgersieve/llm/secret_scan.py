@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ledgersieve.llm.common import map_texts
+from ledgersieve.llm.common import map_texts, pick
 
 
 def _either_case(word: str) -> str:
@@ -178,6 +178,6 @@ def scan(docs: DataFrame) -> DataFrame:
         return work
 
     return map_texts(
-        docs.select("doc_id", "text"), ["doc_id"],
+        pick(docs, "doc_id", "text"), ["doc_id"],
         "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
         "n_literal long", start)

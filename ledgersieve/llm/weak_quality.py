@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgersieve.llm.common import filter_texts, map_texts, text_key
+from ledgersieve.llm.common import filter_texts, map_texts, pick, renamed, text_key
 from ledgersieve.llm.statistics import NAMES, statistics
 from ledgersieve.sources.kept import kept
 
@@ -146,7 +146,7 @@ def train(docs: DataFrame, cfg: WeakQualityConfig = WeakQualityConfig()) -> np.n
     def start_votes():
         return lambda texts: [[pattern(t) for t in texts]]
 
-    own = docs.select("text", text_key(F.col("text")).alias("__key"))
+    own = pick(docs, "text").select("text", text_key(F.col("text")).alias("__key"))
     voted = kept(map_texts(own, ["__key"], "__votes int", start_votes), "votes")
     heard = voted.where("__votes >= 0")
     patterns = {r["__votes"]: r["n"] for r in heard.groupBy("__votes").agg(
@@ -196,11 +196,12 @@ def classify(docs: DataFrame, cfg: WeakQualityConfig = WeakQualityConfig()) -> D
             return [scores, [s >= cfg.threshold for s in scores]]
         return work
 
-    return map_texts(docs.select("doc_id", "text"), ["doc_id"], "score double, kept boolean", start)
+    return map_texts(pick(docs, "doc_id", "text"), ["doc_id"], "score double, kept boolean", start)
 
 
 def keep_good(docs: DataFrame, cfg: WeakQualityConfig = WeakQualityConfig()) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps."""
     weights = train(docs, cfg)
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    return filter_texts(docs, lambda: lambda texts: [score(t, sent.value) >= cfg.threshold for t in texts])
+    good = lambda texts: [score(t, sent.value) >= cfg.threshold for t in texts]
+    return filter_texts(renamed(docs), lambda: good).toDF(*docs.columns)
