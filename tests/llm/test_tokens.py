@@ -1,0 +1,163 @@
+import hashlib
+import random
+from itertools import product
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from ledgersieve.llm import bpe_counts, packing, pieces
+
+from .conftest import ODD_TEXTS
+
+JSON, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+STRANGE = ["<|endoftext|>a <|endoftext|>  b", "don't I'LL we've", "a" * 5000, "ab cd" * 900,
+           "\x00\x1f\x85 x", "  \n\n x\t y", " 😀 中文字 한국어 ́é", "<s>x</s> ▁ y  ", " " * 700 + "z"]
+LETTERS = st.text(alphabet=" aabcdeinst▁😀é\n\tTHE.,'01<|>", max_size=60)
+
+
+@pytest.fixture(scope="module")
+def counter():
+    with open(JSON, "rb") as file:
+        return bpe_counts.BpeCounter(file.read())
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(JSON)
+
+
+@pytest.fixture(scope="module")
+def coder():
+    with open(MODEL, "rb") as file:
+        return pieces.PieceCoder(file.read())
+
+
+@pytest.fixture(scope="module")
+def processor():
+    return sentencepiece.SentencePieceProcessor(model_file=MODEL)
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=LETTERS)
+def test_counts_of_any_text(counter, library, text):
+    assert counter.count([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_long_pre_tokens_merge_alike(counter, library):
+    rnd = random.Random(0)
+    word = "".join(rnd.choice("abcdefgh") for _ in range(6000))
+    assert counter.count([word]) == [len(library.encode(word, add_special_tokens=False).ids)]
+    token = word[:1500].encode()
+    assert counter.merge([token]).tolist() == [counter.merge_long(token)]
+
+
+def test_token_counts_are_the_librarys(sample, library):
+    rows = {r.doc_id: r for r in bpe_counts.token_counts(sample, JSON).collect()}
+    for r in sample.collect():
+        n = len(library.encode(r.text, add_special_tokens=False).ids)
+        assert (rows[r.doc_id].n_bytes, rows[r.doc_id].n_tokens) == (len(r.text.encode()), n)
+        assert rows[r.doc_id].over_limit == (n > 512)
+
+
+def test_token_counts_of_odd_rows(docs_of, no_docs, library):
+    rows = ODD_TEXTS + list(enumerate(STRANGE, 100))
+    got = [tuple(r)[:3] for r in bpe_counts.token_counts(docs_of(rows), JSON).collect()]
+    want = [(i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids))
+            for i, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert bpe_counts.token_counts(no_docs, JSON).collect() == []
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=LETTERS)
+def test_pieces_of_any_text(coder, processor, text):
+    ids = coder.encode([text])[0].tolist()
+    assert ids == processor.encode(text)
+    assert coder.decode(ids) == text.replace("▁", " ")
+
+
+def test_pieces_are_the_librarys(sample, coder, processor):
+    texts = [r.text for r in sample.select("text").collect()] + STRANGE
+    assert [x.tolist() for x in coder.encode(texts)] == processor.encode(texts)
+
+
+def test_unigram_pieces_have_the_best_sum():
+    rows = [("<unk>", 0.0, pieces.UNKNOWN)] + [
+        (p, s, pieces.NORMAL) for p, s in [("▁", -2.0), ("a", -3.0), ("b", -3.1), ("ab", -4.0),
+                                           ("ba", -4.3), ("▁a", -3.5), ("aba", -6.05), ("c", -9.0)]]
+    scores = {p: s for p, s, t in rows if t == pieces.NORMAL}
+    coder = pieces.PieceCoder.of(rows, pieces.UNIGRAM)
+
+    def best(word):
+        if not word:
+            return 0.0
+        options = [scores[word[:n]] + best(word[n:]) for n in range(1, 4) if word[:n] in scores]
+        return max(options)
+
+    for n in range(1, 7):
+        for letters in product("abc", repeat=n):
+            text = "".join(letters)
+            ids = coder.encode([text])[0].tolist()
+            assert "".join(rows[i][0] for i in ids) == "▁" + text
+            assert sum(rows[i][1] for i in ids) == pytest.approx(best("▁" + text))
+    assert coder.decode(coder.encode(["aXb"])[0].tolist()) == "a ⁇ b"
+
+
+def test_round_trip_of_odd_rows(docs_of, no_docs, processor):
+    rows = ODD_TEXTS + list(enumerate(STRANGE, 100))
+    got = pieces.round_trip(docs_of(rows), MODEL).collect()
+    assert len(got) == len(rows) and all(r.same_text for r in got)
+    want = {i: hashlib.sha256(np.array(processor.encode(t or ""), "<i4").tobytes()).hexdigest()
+            for i, t in rows if i is not None}
+    assert all(r.ids_sha256 == want[r.doc_id] for r in got if r.doc_id is not None)
+    coded = pieces.encode(docs_of(rows), MODEL).collect()
+    assert {r.doc_id: r.ids for r in coded}[1] == processor.encode(rows[0][1])
+    assert pieces.round_trip(no_docs, MODEL).collect() == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(length=st.integers(1, 30), data=st.data())
+def test_best_fit_is_what_a_plain_search_finds(length, data):
+    sizes = data.draw(st.lists(st.integers(1, length), max_size=50))
+    room: list[int] = []
+    for size in sorted(sizes, reverse=True):
+        fitting = [r for r in room if r >= size]
+        if fitting:
+            room.remove(min(fitting))
+            room.append(min(fitting) - size)
+        else:
+            room.append(length - size)
+    rows = packing.best_fit(sizes, length)
+    assert sorted(i for r in rows for i in r) == list(range(len(sizes)))
+    assert sorted(length - sum(sizes[i] for i in r) for r in rows) == sorted(room)
+
+
+@pytest.mark.parametrize("cfg", [packing.PackingConfig(64, 500), packing.PackingConfig()])
+def test_packing_loses_nothing(docs_of, no_docs, tmp_path, cfg):
+    rows = [(n, t) for n, (_, t) in enumerate(ODD_TEXTS)] + [(None, "no id")]
+    packing.write_packed(packing.pack(docs_of(rows), RANKS, cfg), str(tmp_path / "packed"))
+    packed = no_docs.sparkSession.read.parquet(str(tmp_path / "packed")).collect()
+    with open(RANKS, "rb") as file:
+        coder, end = packing.encoder(file.read())
+    parts = {}
+    for r in packed:
+        ids, positions = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.positions, "<u4")
+        assert len(ids) == len(positions) == cfg.length
+        assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens <= cfg.length
+        assert (ids[r.n_tokens:] == end).all() and not positions[r.n_tokens:].any()
+        segments = packing.unpack(r.ids, r.cu_seqlens)
+        for ids, a, doc, piece in zip(segments, r.cu_seqlens[:-1], r.doc_ids, r.pieces, strict=True):
+            assert (positions[a:a + len(ids)] == np.arange(len(ids))).all()
+            assert (doc, piece) not in parts
+            parts[doc, piece] = ids
+    for doc, text in rows:
+        own = np.concatenate([parts[k] for k in sorted((k for k in parts if k[0] == doc), key=lambda k: k[1])])
+        assert own.tolist() == [*coder.encode_ordinary(text or ""), end]
+    assert len({r.row_id for r in packed}) == len(packed)
+    assert packing.pack(no_docs, RANKS, cfg).collect() == []
