@@ -85,6 +85,22 @@ def line_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def repeated_line_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines under ids that repeat, over years, some without account or counterparty."""
+    number = F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), number.cast("string"))
+        .alias("transaction_id"),
+        F.col("l_shipdate").alias("date"),
+        F.col("l_quantity").alias("amount"),
+        F.when(number != 7, F.col("l_returnflag")).alias("account"),
+        F.col("l_linestatus").alias("description"),
+        F.concat(F.lit("Supplier "), (F.col("l_suppkey") % 40).cast("string")).alias("user"),
+        F.when(number != 6, F.concat(F.lit("SUPPLIER  "), (F.col("l_partkey") % 97).cast("string")))
+        .alias("counterparty"),
+    )
+
+
 def page_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as entries: posted by a site, the counterparty is the host as written."""
     host = F.regexp_extract("url", "//([^/]+)/", 1)
@@ -144,11 +160,12 @@ def loan_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(priority == "2-HIGH", 0.99).when(priority == "3-MEDIUM", 0.9)
         .when(priority == "4-NOT SPECIFIED", 0.5).otherwise(1.0)
     )
-    orders = table(spark, sf_dir, "orders").filter(priority != "1-URGENT")
-    listed = orders.join(
+    # Urgent orders are in the schedule under an id the ledger does not know
+    prefix = F.when(priority == "1-URGENT", "XL").otherwise("LN")
+    listed = table(spark, sf_dir, "orders").join(
         returned, F.col("o_orderkey") == F.col("l_orderkey"), "left"
     ).select(
-        _loan("o_orderkey").alias("loan_id"),
+        F.concat(prefix, F.col("o_orderkey").cast("string")).alias("loan_id"),
         F.concat(F.lit("Borrower "), F.col("o_custkey").cast("string")).alias("borrower"),
         priority.alias("product"),
         s.rint_to((F.col("o_totalprice") - F.coalesce("repaid", F.lit(0.0))) * share, 2)

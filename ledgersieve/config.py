@@ -45,8 +45,6 @@ class ScreenConfig:
     # Risk score
     materiality_floor: float = 0.5
     materiality_ceiling: float = 2.0
-    # Above this many equal entries for one id, the breakdown says "<entry> x<count>"
-    breakdown_repeat_limit: int = 1000
     # Reconciliation
     clean_tolerance: float = 0.02
     timing_tolerance: float = 0.20

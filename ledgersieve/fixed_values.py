@@ -49,7 +49,7 @@ SAMPLE_SIZE_WARNING = (
 DUPLICATE_ID_REASON = "Duplicate transaction_id — data integrity issue"
 DUPLICATE_PAYMENT_REASON = (
     "Potential duplicate payment: same counterparty, account, and amount "
-    "within %d day(s)"
+    "within %s day(s)"
 )
 DUPLICATE_GROUP_PREFIX = "DUP-GRP-"
 MISSING_KEY_TEXT = "nan"
@@ -102,6 +102,7 @@ RELATED_PARTY_REASONS = {
     ),
 }
 RELATED_PARTY_POINTS = {SELF_DEALING: 45, STAFF_AS_BORROWER: 20}
+NEAR_MATCH = "Near match"
 FUZZY_REASON_HEAD = (
     "Possible related party: counterparty name closely resembles staff member '"
 )

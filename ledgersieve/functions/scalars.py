@@ -23,13 +23,26 @@ def rint_to(value: Column, places: int) -> Column:
 
 
 def money(value: Column) -> Column:
-    """Fixed-point form for sums, so that totals do not depend on row order."""
-    return value.cast("decimal(20,4)")
+    """Fixed-point form for sums, so that totals do not depend on row order.
+
+    Null from 10^24 on; see ``total``.
+    """
+    return value.try_cast("decimal(28,4)")
 
 
 def total(value: Column) -> Column:
-    """Order-independent sum, 0 when there is nothing to add."""
-    return F.coalesce(F.sum(money(value)).cast("double"), F.lit(0.0))
+    """Sum, 0 when there is nothing to add, of amounts rounded to four places.
+
+    Amounts up to 10^24 are added in fixed point, whatever their order. Larger ones are
+    added as they are, rounded to twelve significant digits, since their last digits
+    would depend on the order.
+    """
+    fixed = F.coalesce(F.sum(money(value)).cast("double"), F.lit(0.0))
+    huge = F.sum(F.when(money(value).isNull(), value))
+    digits = F.expr("12") - F.ceil(F.log10(F.abs(huge))).cast("int")
+    scale = F.pow(F.lit(10.0), digits.cast("double"))
+    rounded = F.when(F.abs(huge) < 1e300, F.rint(huge * scale) / scale).otherwise(huge)
+    return F.when(huge.isNull() | (huge == 0), fixed).otherwise(fixed + rounded)
 
 
 def leading_digit(amount: Column) -> Column:

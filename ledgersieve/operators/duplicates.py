@@ -130,7 +130,7 @@ def duplicate_payment_rows(
 
 
 def duplicate_reason(cfg: ScreenConfig) -> Column:
-    return F.lit(fv.DUPLICATE_PAYMENT_REASON % cfg.duplicate_window_days)
+    return F.lit(fv.DUPLICATE_PAYMENT_REASON % f"{cfg.duplicate_window_days:g}")
 
 
 def duplicate_payments(
@@ -142,7 +142,10 @@ def duplicate_payments(
     account: str = "account",
     slots: DataFrame | None = None,
 ) -> DataFrame:
-    """Potential duplicate payments with a group id per key, numbered in key-text order."""
+    """Potential duplicate payments with a group id per key text, in the order of the texts.
+
+    Keys that read alike (a name may hold the separator) share a group.
+    """
     if slots is None:
         slots = close_slots(ledger, cfg, amount, date, counterparty, account)
     if slots is None:
@@ -152,9 +155,9 @@ def duplicate_payments(
         })
     keyed = _keyed(ledger, cfg, amount, date, counterparty, account)
     key_text = F.concat_ws("|", "key_party", "key_account", s.float_text(F.col("key_amount")))
-    groups = consecutive_numbers(
-        slots.select(*KEY).distinct().withColumn("key_text", key_text), "key_text", "group_no"
-    ).select(
+    keys = kept(slots.select(*KEY).distinct().withColumn("key_text", key_text), "keys")
+    numbers = consecutive_numbers(keys.select("key_text").distinct(), "key_text", "group_no")
+    groups = keys.join(numbers, "key_text").select(
         *KEY,
         F.concat(F.lit(fv.DUPLICATE_GROUP_PREFIX), F.col("group_no").cast("string"))
         .alias("duplicate_group_id"),
@@ -166,9 +169,9 @@ def duplicate_payments(
 
 def summarize_duplicates(flagged: DataFrame, amount: str = "amount") -> DataFrame:
     per_group = flagged.groupBy("duplicate_group_id").agg(
-        F.count("*").alias("rows"), F.sum(s.money(F.col(amount))).alias("value"))
+        F.count("*").alias("rows"), s.total(F.col(amount)).alias("value"))
     return per_group.agg(
         F.count("duplicate_group_id").alias("duplicate_groups_found"),
         F.coalesce(F.sum("rows"), F.lit(0)).alias("total_flagged_transactions"),
-        s.rint_to(F.coalesce(F.sum("value").cast("double"), F.lit(0.0)), 2).alias("total_exposure"),
+        s.rint_to(s.total(F.col("value")), 2).alias("total_exposure"),
     )

@@ -2,50 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Marks cut the order into ranges; they are searched in two steps of STRIDE comparisons.
-STRIDE = 16
-MARKS = STRIDE * STRIDE
+from ledgersieve.sources.kept import kept
 
 
 def consecutive_numbers(rows: DataFrame, order: str, number: str) -> DataFrame:
     """Number distinct texts in column ``order`` 1, 2, 3 ... in text order.
 
-    A fixed number of rows, those with the smallest hashes, serve as marks that cut
-    the order into ranges of similar size. The choice depends on the data alone, so a
-    task that is run again cuts in the same places.
+    The rows are cut into as many ranges of the order as there are shuffle partitions and
+    written, each with the number of its range; a text's number is what lies in the ranges
+    before its own, of which there is one row each, plus its place within.
     """
-    chosen = rows.select(order).orderBy(F.xxhash64(order), order).limit(MARKS)
-    every_stride = F.transform(
-        F.sequence(F.lit(1), F.lit(STRIDE)), lambda i: F.try_element_at("marks", i * STRIDE))
-    marks = chosen.agg(F.sort_array(F.collect_list(order)).alias("marks")).select(
-        F.struct("marks", every_stride.alias("every_stride")))
-
-    def passed(candidates: Column) -> Column:
-        return F.size(F.filter(candidates, lambda mark: mark <= F.col(order)))
-
-    cut = (
-        rows.withColumn("cuts", marks.scalar())
-        .withColumn("strides", passed(F.col("cuts.every_stride")))
-        .withColumn("range_no", F.col("strides") * STRIDE + passed(
-            F.slice("cuts.marks", F.col("strides") * STRIDE + 1, STRIDE)))
-        .drop("cuts", "strides")
-    )
-    # At most MARKS + 1 rows, hence a window over all of them and a broadcast.
-    before = (
-        cut.groupBy("range_no")
-        .agg(F.count("*").alias("in_range"))
-        .select(
-            "range_no",
-            (F.sum("in_range").over(Window.orderBy("range_no")) - F.col("in_range")).alias("before"),
-        )
-    )
+    cut = kept(
+        rows.repartitionByRange(order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    sizes = cut.groupBy("range_no").agg(F.count("*").alias("in_range"))
+    before = sizes.select(
+        "range_no",
+        (F.sum("in_range").over(Window.orderBy("range_no")) - F.col("in_range")).alias("before"))
     within = F.row_number().over(Window.partitionBy("range_no").orderBy(order))
     return (
         cut.withColumn("within", within)
-        .join(F.broadcast(before), "range_no")
+        .join(before, "range_no")
         .withColumn(number, (F.col("before") + F.col("within")).cast("long"))
-        .drop("range_no", "within", "before")
+        .select(*rows.columns, number)
     )

@@ -178,7 +178,7 @@ def detect_outliers(
     ledger: DataFrame, cfg: ScreenConfig = ScreenConfig(), method: str = "modified_zscore", **columns
 ) -> DataFrame:
     if method not in METHODS:
-        raise ValueError(f"Unknown method '{method}'. Use one of {sorted(METHODS)}.")
+        raise ValueError(f"There is no outlier test {method!r}; there are {', '.join(METHODS)}.")
     return METHODS[method](ledger, cfg, **columns)
 
 

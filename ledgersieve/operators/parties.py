@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 import difflib
-import math
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgersieve import fixed_values as fv
 from ledgersieve.config import ScreenConfig
 from ledgersieve.functions import scalars as s
+from ledgersieve.shipping import ship_package
 from ledgersieve.sources.kept import kept
 
-NAMES_PER_BLOCK = 4_000
-STAFF_PER_BLOCK = 4_000
-
 
 def staff_roster(ledger: DataFrame, user: str = "user") -> DataFrame:
     """Distinct normalised user names with one original spelling each (the greatest)."""
@@ -83,83 +79,84 @@ def flag_related_party(
     )
 
 
-def related_party_summary(flagged: DataFrame) -> DataFrame:
-    return flagged.groupBy("related_party_category").agg(F.count("*").alias("transactions"))
+def related_party_summary(flagged: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """Transactions per category and, if the near matches are given, their number."""
+    counts = flagged.groupBy("related_party_category").agg(F.count("*").alias("transactions"))
+    if near is None:
+        return counts
+    return counts.unionByName(near.agg(F.count("*").alias("transactions")).select(
+        F.lit(fv.NEAR_MATCH).alias("related_party_category"), "transactions"))
 
 
 # --- Near matches -----------------------------------------------------------
 
-def _char_counts(names: list[str], alphabet: dict[str, int]) -> np.ndarray:
-    counts = np.zeros((len(names), len(alphabet)), dtype=np.int32)
-    for row, name in enumerate(names):
-        for char in name:
-            column = alphabet.get(char)
-            if column is not None:
-                counts[row, column] += 1
-    return counts
+def _tokens(name: Column) -> Column:
+    """Each character with its number among equal ones: names share as many tokens as letters."""
+    letters = F.transform(F.array(F.split(name, "")), lambda chars: F.transform(
+        chars, lambda c, i: F.concat(c, F.size(F.filter(
+            F.slice(chars, F.lit(1), i + 1), lambda other: other == c)).cast("string"))))
+    return F.get(letters, F.lit(0))
 
 
-def _closest_in_block(names: pd.DataFrame, staff: pd.DataFrame, cutoff: float) -> pd.DataFrame:
-    """Best staff name for each counterparty name of a block, if any reaches the cutoff.
+def _rare_tokens(names: DataFrame, frequency: DataFrame, cutoff: float) -> DataFrame:
+    """One row per name and token that a similar name may not miss altogether.
 
-    Two names cannot share more characters in order than they share at all, which bounds
-    the score from above. Staff are scored from the highest bound down until the bound
-    falls below the best score, so the result equals scoring everyone.
+    Similar names of lengths a and b share at least cutoff * (a + b) / 2 letters, hence at
+    least the part cutoff / (2 - cutoff) of either. In one order of all tokens, the first
+    ones of two such names, one more than they may differ in, have a token in common. Rare
+    tokens come first in that order.
     """
-    people = staff["normalized_name"].tolist()
-    alphabet = {char: i for i, char in enumerate(sorted(set("".join(people))))}
-    people_counts = _char_counts(people, alphabet)
-    people_sizes = np.array([len(person) for person in people])
-    found = []
-    for name in names["name"]:
-        shared = np.minimum(people_counts, _char_counts([name], alphabet)).sum(axis=1)
-        bounds = 2.0 * shared / (people_sizes + len(name))
-        matcher = difflib.SequenceMatcher()
-        matcher.set_seq2(name)
-        best = None
-        for i in np.argsort(-bounds, kind="stable"):
-            if bounds[i] < (cutoff if best is None else best[0]):
-                break
-            matcher.set_seq1(people[i])
-            score = matcher.ratio()
-            if score >= cutoff and (best is None or (score, people[i]) > best):
-                best = (score, people[i])
-        if best is not None:
-            reported = difflib.SequenceMatcher(None, name, best[1]).ratio()
-            found.append((name, best[1], best[0], reported))
-    return pd.DataFrame(found, columns=["name", "normalized_name", "score", "similarity"])
+    size = F.size("tokens")
+    first = size - F.ceil(size * (cutoff / (2 - cutoff)) - 1e-9).cast("int") + 1
+    in_order = Window.partitionBy("name").orderBy("times", "token")
+    return (
+        names.select("name", "tokens", first.alias("first"), F.explode("tokens").alias("token"))
+        .join(frequency, "token", "left")
+        .withColumn("times", F.coalesce("times", F.lit(0)))
+        .withColumn("place", F.row_number().over(in_order))
+        .filter(F.col("place") <= F.col("first"))
+        .select("token", "name", "tokens")
+    )
+
+
+def _scores(pairs: pd.DataFrame) -> pd.DataFrame:
+    """How alike staff and counterparty are, and the same with the two exchanged."""
+    both = list(zip(pairs["name"], pairs["normalized_name"]))
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    return pairs.assign(score=[ratio(staff, name) for name, staff in both],
+                        similarity=[ratio(name, staff) for name, staff in both])
 
 
 def closest_staff(names: DataFrame, roster: DataFrame, cutoff: float) -> DataFrame:
     """For each distinct ``name`` the most similar staff name at or above the cutoff.
 
-    Names and staff are cut into blocks of limited size and each pair of blocks is one
-    task: no pair of names is ever a row, and no side is gathered in one place.
+    Only pairs that share one of their rare tokens, have enough letters in common and are
+    of similar length are scored, which leaves out no pair that reaches the cutoff.
     """
-    name_blocks = max(1, math.ceil(names.count() / NAMES_PER_BLOCK))
-    staff_blocks = max(1, math.ceil(roster.count() / STAFF_PER_BLOCK))
-
-    def block_of(column: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
-
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    left = names.select(
-        "name", block_of("name", name_blocks).alias("name_block"),
-        every(staff_blocks).alias("staff_block"))
-    right = roster.select(
-        "normalized_name", block_of("normalized_name", staff_blocks).alias("staff_block"),
-        every(name_blocks).alias("name_block"))
-
-    def closest(names_pdf: pd.DataFrame, staff_pdf: pd.DataFrame) -> pd.DataFrame:
-        return _closest_in_block(names_pdf, staff_pdf, cutoff)
-
-    blocks = ["name_block", "staff_block"]
-    scored = left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(
-        closest, "name string, normalized_name string, score double, similarity double")
+    if not 0 < cutoff <= 1:
+        raise ValueError("The cutoff lies between 0 and 1.")
+    ship_package(names.sparkSession)
+    staff = roster.select(F.col("normalized_name").alias("name")).filter(F.col("name") != "")
+    staff = kept(staff.withColumn("tokens", _tokens(F.col("name"))), "staff-tokens")
+    frequency = kept(
+        staff.select(F.explode("tokens").alias("token")).groupBy("token")
+        .agg(F.count("*").alias("times")), "token-frequency")
+    left = _rare_tokens(names.withColumn("tokens", _tokens(F.col("name"))), frequency, cutoff)
+    right = _rare_tokens(staff, frequency, cutoff).select(
+        "token", F.col("name").alias("normalized_name"), F.col("tokens").alias("staff_tokens"))
+    letters = F.size("tokens") + F.size("staff_tokens")
+    enough = lambda shared: 2 * shared >= cutoff * letters - 1e-9
+    pairs = (
+        left.join(right, "token")
+        .filter(enough(F.least(F.size("tokens"), F.size("staff_tokens"))))
+        .filter(enough(F.size(F.array_intersect("tokens", "staff_tokens"))))
+        .select("name", "normalized_name").distinct()
+    )
+    scored = pairs.mapInPandas(
+        lambda frames: map(_scores, frames),
+        "name string, normalized_name string, score double, similarity double")
     return (
-        scored.groupBy("name")
+        scored.filter(F.col("score") >= cutoff).groupBy("name")
         .agg(F.max_by(F.struct("normalized_name", "similarity"),
                       F.struct("score", "normalized_name")).alias("best"))
         .select("name", "best.normalized_name", "best.similarity")
@@ -185,17 +182,19 @@ def flag_fuzzy_related_party(
         roster = kept(staff_roster(ledger, user), "roster")
     if exact_flagged is None:
         exact_flagged = flag_related_party(ledger, roster, user, counterparty)
-    known = exact_flagged.select(F.col("transaction_id").alias("known_id")).distinct()
-    candidates = (
-        ledger.withColumn("name", s.normalised_name(F.col(counterparty)))
-        .filter(F.col("name") != "")
-        .join(known, F.col("transaction_id").eqNullSafe(F.col("known_id")), "left_anti")
-    )
-    names = kept(candidates.select("name").distinct(), "counterparty-names")
+    named = ledger.withColumn("name", s.normalised_name(F.col(counterparty)))
+    staff = roster.select(F.col("normalized_name").alias("name"))
+    names = kept(
+        named.select("name").filter(F.col("name") != "").distinct()
+        .join(staff, "name", "left_anti"), "counterparty-names")
     matches = kept(closest_staff(names, roster, cfg.fuzzy_cutoff).join(
         roster, "normalized_name"), "closest-staff")
+    # Ids with an exact match are looked up for the few rows that have a near match only
+    known = exact_flagged.select(F.col("transaction_id").alias("known_id")).distinct()
+    candidates = named.join(matches, "name").join(
+        known, F.col("transaction_id").eqNullSafe(F.col("known_id")), "left_anti")
     share = F.col("similarity")
-    return candidates.join(matches, "name").select(
+    return candidates.select(
         *ledger.columns,
         F.col("staff_name").alias("closest_staff_match"),
         s.rint_to(share, 3).alias("similarity_score"),

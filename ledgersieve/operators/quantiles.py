@@ -2,11 +2,12 @@
 
 ``percentile`` and ``median`` gather all distinct values of a group in one task,
 so a group with a third of all rows would not fit. Here the rows are counted into
-logarithmic bins first, which partial sums reduce to a few hundred counters per
-group and task. The bins a wanted rank falls into are found from the counters. Where
-such a bin still holds many rows it is counted again in finer bins. Only the values
-in the last bins are shuffled and ordered, so what a task sees of one group is
-limited by the number of bins and by the width of one bin, not by the group.
+logarithmic bins first, PER_E_FOLD of them for each factor e, which partial sums reduce to
+counters per group and task. The bins a wanted rank falls into are found from the counters,
+and only the distinct values in those bins are shuffled and ordered. What a task sees of one
+group at the end is limited by the width of a bin, 1/4096 of the value, however many rows the
+group has; a bin can hold many rows only if they are that close, and equal ones are counted
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,20 +19,19 @@ from pyspark.sql import functions as F
 
 from ledgersieve.sources.kept import kept
 
-# Bins per factor e, from coarse to fine
-RESOLUTIONS = (64, 64 * 64, 64 * 64 * 64)
-# A finer count is taken where a wanted bin holds more rows than this
-ROWS_PER_BIN = 1_000_000
+PER_E_FOLD = 4096
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
-def _bin(per_e_fold: int) -> Column:
+def _bin() -> Column:
     """Order-preserving: a greater ``value`` never falls into a lower bin."""
-    # exp(-800) is below the smallest double, so shifted bins of positive values are positive
-    shift = 800 * per_e_fold
+    # exp(-800) is below the smallest double, so shifted bins of positive values are
+    # positive; infinities have the outermost bins
+    shift, last = 800 * PER_E_FOLD, 1600 * PER_E_FOLD
     return F.expr(f"""
-        CAST(CASE WHEN value > 0 THEN floor(ln(value) * {per_e_fold}) + {shift}
-                  WHEN value < 0 THEN -(floor(ln(-value) * {per_e_fold}) + {shift})
+        CAST(CASE WHEN abs(value) = DOUBLE('Infinity') THEN sign(value) * {last}
+                  WHEN value > 0 THEN floor(ln(value) * {PER_E_FOLD}) + {shift}
+                  WHEN value < 0 THEN -(floor(ln(-value) * {PER_E_FOLD}) + {shift})
                   ELSE 0 END AS BIGINT)""")
 
 
@@ -44,13 +44,14 @@ def grouped_quantiles(
 ) -> DataFrame:
     """One row per group: a column per wanted share, linearly interpolated, and the row count.
 
-    Rows without a value do not count. ``rows`` is read once per resolution and once for
-    the values, each time only in the columns needed. The wanted bins, a few rows per
-    group, are written in between: the planner then knows their size and, where it is
-    small, leaves ``rows`` unshuffled.
+    Rows without a value (not-a-number is none) do not count. ``rows`` is read once for the
+    counters and once for the values, each time only in the columns needed. The wanted bins,
+    a few rows per group, are written in between: the planner then knows their size and,
+    where it is small, leaves ``rows`` unshuffled.
     """
     keys = list(keys)
-    values = rows.select(*keys, value.cast("double").alias("value")).filter("value IS NOT NULL")
+    values = rows.select(*keys, value.cast("double").alias("value")).filter(
+        "value IS NOT NULL AND NOT isnan(value)").withColumn("bin", _bin())
 
     def covers(share: float, side: str) -> str:
         rank = f"{side}({share}D * ({size} - 1))"
@@ -59,29 +60,17 @@ def grouped_quantiles(
     wanted = " OR ".join(
         covers(share, side) for share in set(shares.values()) for side in ("floor", "ceil"))
 
-    inside, offset, total = values, F.lit(0), F.sum("n").over(Window.partitionBy(*keys))
-    outer: list[str] = []
-    for per_e_fold in RESOLUTIONS:
-        if "bin" in inside.columns:
-            # Count finer bins inside the wanted ones, which know what lies below them
-            inside = inside.withColumnRenamed("bin", "outer_bin")
-            outer = ["outer_bin", "bin_below", size]
-            offset, total = F.col("bin_below"), F.col(size)
-        counted = inside.withColumn("bin", _bin(per_e_fold)).groupBy(*keys, *outer, "bin").agg(
-            F.count("*").alias("n"))
-        within = Window.partitionBy(*keys, *outer[:1]).orderBy("bin").rowsBetween(*RUNNING)
-        bins = kept(
-            counted.withColumn("up_to", offset + F.sum("n").over(within))
-            .withColumn(size, total)
-            .withColumn("below", F.col("up_to") - F.col("n"))
-            .filter(wanted)
-            .select(*keys, "bin", "n", F.col("below").alias("bin_below"), size),
-            "bins",
-        )
-        values = values.withColumn("bin", _bin(per_e_fold))
-        inside = values.join(bins.drop("n"), [*keys, "bin"])
-        if (bins.agg(F.max("n")).first()[0] or 0) <= ROWS_PER_BIN:
-            break
+    counted = values.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*keys).orderBy("bin").rowsBetween(*RUNNING)
+    bins = kept(
+        counted.withColumn("up_to", F.sum("n").over(within))
+        .withColumn(size, F.sum("n").over(Window.partitionBy(*keys)))
+        .withColumn("below", F.col("up_to") - F.col("n"))
+        .filter(wanted)
+        .select(*keys, "bin", F.col("below").alias("bin_below"), size),
+        "bins",
+    )
+    inside = values.join(bins, [*keys, "bin"])
 
     in_bin = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(*RUNNING)
     ranked = (

@@ -32,21 +32,18 @@ def gl_loan_balances(
         F.count_if(disbursed | repaid).alias("loan_rows"),
     ]
     columns = ["loan_id", "total_disbursed", "total_repaid", GL]
-    if counterparty in gl.columns:
-        earliest = F.min(F.when(
-            F.col(counterparty).isNotNull(),
-            F.struct("date", "transaction_id", F.col(counterparty).alias("name")),
-        ))
-        sums.append(earliest.getField("name").alias("borrower"))
-        columns.append("borrower")
-    return (
-        gl.filter(F.col(loan_id).isNotNull())
-        .groupBy(F.col(loan_id).alias("loan_id"))
-        .agg(*sums)
-        .filter(F.col("loan_rows") > 0)
-        .withColumn(GL, F.col("total_disbursed") - F.col("total_repaid"))
-        .select(*columns)
+    rows = gl.filter(F.col(loan_id).isNotNull()).withColumn("loan_id", F.col(loan_id))
+    balances = (
+        rows.groupBy("loan_id").agg(*sums).filter(F.col("loan_rows") > 0)
+        .withColumn(GL, F.col("total_disbursed") - F.col("total_repaid")).select(*columns)
     )
+    if counterparty not in gl.columns:
+        return balances
+    # Only rows that name someone are sorted for the borrower; the sums are hashed
+    earliest = F.min(F.struct("date", "transaction_id", F.col(counterparty).alias("name")))
+    borrowers = rows.filter(F.col(counterparty).isNotNull()).groupBy("loan_id").agg(
+        earliest.getField("name").alias("borrower"))
+    return balances.join(borrowers, "loan_id", "left")
 
 
 def reconciliation_category(cfg: ScreenConfig) -> Column:

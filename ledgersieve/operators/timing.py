@@ -110,10 +110,10 @@ def timing_summary(ledger: DataFrame, users: DataFrame, cfg: ScreenConfig = Scre
     return counts.withColumn("flagged_users", users.agg(F.count_if("flagged")).scalar())
 
 
-def user_share_chart(users: DataFrame) -> DataFrame:
+def user_share_chart(users: DataFrame, user: str = "user") -> DataFrame:
     """Users with odd-time entries: percent of volume against percent of anomalies."""
     return users.filter(F.col("flagged_transactions") > 0).select(
-        "user",
+        user,
         s.rint_to(F.col("pct_of_total") * 100, 2).alias("pct_of_volume"),
         s.rint_to(F.col("pct_of_flagged") * 100, 2).alias("pct_of_anomalies"),
         "concentration_ratio",

@@ -157,7 +157,7 @@ class Audit:
     @cached_property
     def consolidated(self) -> DataFrame:
         reasons = consolidation.flag_reasons(self.findings, self.cfg)
-        return consolidation.consolidate(self.ledger, reasons, self.cfg)
+        return consolidation.consolidate(self.ledger, reasons)
 
     # Reconciliation, if both tables are there
     @cached_property
@@ -197,5 +197,9 @@ def run_audit(
     schedule: DataFrame | None = None,
     cfg: ScreenConfig = ScreenConfig(),
 ) -> Audit:
-    """All screens on ``ledger``; loans are reconciled if both tables are given."""
-    return Audit(ledger, gl, schedule, cfg)
+    """All screens on ``ledger``; loans are reconciled if both tables are given.
+
+    The ledger is written to the shared folder first, so that its source is read and its
+    texts are parsed once, and each screen reads the columns it needs.
+    """
+    return Audit(kept(ledger, "ledger"), gl, schedule, cfg)

@@ -9,12 +9,23 @@ from ledgersieve import fixed_values as fv
 from ledgersieve.config import ScreenConfig
 from ledgersieve.operators import duplicates as dup
 from ledgersieve.operators import outliers, parties, rounds, timing
-from ledgersieve.plans.scoring import ID, base_columns
+from ledgersieve.plans.scoring import ID, base_columns, times
 
 # In the order in which reasons are listed
 METHODS = list(fv.METHOD_TITLES)
 
 
+def _variants() -> dict[str, Column]:
+    """What tells reasons of one method apart, but for the account: a few values each."""
+    return {
+        "round_number": F.col("roundness_tier"),
+        "outlier": F.col("outlier_direction"),
+        "related_party": F.col("related_party_category"),
+        "journal_entry": F.concat_ws(
+            ",", F.col("is_weekend").cast("string"), F.col("is_after_hours").cast("string")),
+    }
+
+
 def _reasons(cfg: ScreenConfig) -> dict[str, Column]:
     """Reason text of each method on a row of the findings, null if not flagged by it."""
     direction = F.col("outlier_direction")
@@ -29,42 +40,39 @@ def _reasons(cfg: ScreenConfig) -> dict[str, Column]:
 
 
 def flag_reasons(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
-    """One row per transaction and method that flags it, with the reason."""
+    """One row per transaction and method that flags it, with the reason and its variant."""
+    variants = _variants()
     entries = F.array(*(
         F.when(reason.isNotNull(), F.struct(
-            F.lit(METHODS.index(method)).alias("method_no"), reason.alias("reason")))
+            F.lit(METHODS.index(method)).alias("method_no"), reason.alias("reason"),
+            variants.get(method, F.lit("")).alias("variant")))
         for method, reason in _reasons(cfg).items()
     ))
     return found.select(ID, F.inline(F.filter(entries, lambda entry: entry.isNotNull())))
 
 
 def consolidate(
-    ledger: DataFrame, reasons: DataFrame, cfg: ScreenConfig = ScreenConfig()
+    ledger: DataFrame, reasons: DataFrame
 ) -> DataFrame:
     """Ledger rows flagged by any method, with a flag per method and all reasons."""
-    # Equal reasons of one id are counted before they are gathered, so what is gathered
-    # for an id is its distinct reasons, however often the id occurs.
-    counted = reasons.groupBy(ID, "method_no", "reason").agg(F.count("*").alias("times"))
+    # Reasons of one id that differ in the account only are counted together, under the
+    # least of their texts, before they are gathered: what is gathered for an id is a few
+    # entries per method, however often the id occurs and on however many accounts.
+    counted = reasons.groupBy(ID, "method_no", "variant").agg(
+        F.min("reason").alias("reason"), F.count("*").alias("times"))
     per_id = counted.groupBy(F.col(ID).alias("flagged_id")).agg(
         *(F.max(F.col("method_no") == i).alias(f"flagged_{m}") for i, m in enumerate(METHODS)),
         F.array_sort(F.collect_list(F.struct("method_no", "reason", "times"))).alias("entries"),
     )
 
-    def spelled(entry: Column) -> Column:
-        times, reason = entry["times"], entry["reason"]
-        limit = cfg.breakdown_repeat_limit
-        repeated = F.array_join(F.array_repeat(reason, times.cast("int")), " | ")
-        return F.when(
-            times > limit, F.concat(reason, F.lit(" x"), times.cast("string"))
-        ).otherwise(repeated)
-
     count = sum((F.col(f"flagged_{m}").cast("int") for m in METHODS[1:]),
                 F.col(f"flagged_{METHODS[0]}").cast("int"))
     return ledger.join(per_id, F.col(ID).eqNullSafe(F.col("flagged_id"))).select(
         *base_columns(ledger),
         *(f"flagged_{m}" for m in METHODS),
         count.alias("flag_count"),
-        F.array_join(F.transform("entries", spelled), " | ").alias("flag_reasons"),
+        F.array_join(F.transform("entries", lambda entry: times(
+            entry["reason"], entry["times"])), " | ").alias("flag_reasons"),
     )
 
 

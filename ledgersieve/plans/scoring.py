@@ -159,12 +159,10 @@ def risk_contributions(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) ->
     return found.select(ID, F.inline(F.filter(entries, lambda entry: entry.isNotNull())))
 
 
-def _times(kind: Evidence, count: Column, limit: int) -> Column:
-    """The entry as often as it counts, or once with the count where that is too long."""
-    entry = F.lit(kind.entry)
-    spelled = F.array_join(F.array_repeat(entry, count.cast("int")), "; ")
-    return F.when(count > limit, F.concat(entry, F.lit(" x"), count.cast("string"))).when(
-        count > 0, spelled)
+def times(entry: Column, count: Column) -> Column:
+    """The entry, followed by how often it counts where that is more than once."""
+    return F.when(count > 1, F.concat(entry, F.lit(" x"), count.cast("string"))).when(
+        count == 1, entry)
 
 
 def id_scores(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame:
@@ -177,8 +175,7 @@ def id_scores(found: DataFrame, cfg: ScreenConfig = ScreenConfig()) -> DataFrame
     counted = found.filter(F.col(ID).isNotNull()).groupBy(ID).agg(
         *(F.count_if(kind.holds).alias(name) for name, kind in kinds.items()))
     base = reduce(add, (F.col(name) * kind.points for name, kind in kinds.items()))
-    parts = [_times(kind, F.col(name), cfg.breakdown_repeat_limit)
-             for name, kind in kinds.items()]
+    parts = [times(F.lit(kind.entry), F.col(name)) for name, kind in kinds.items()]
     return counted.select(
         ID, base.alias("base_score"), F.concat_ws("; ", *parts).alias("score_breakdown"))
 

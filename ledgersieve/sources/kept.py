@@ -8,6 +8,7 @@ size of the table: a join against it is broadcast only if that size is below
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,18 +16,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one where a single JVM runs all."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not context.master.startswith("local"):
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
                 raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
             configured = tempfile.mkdtemp(prefix="ledgersieve-")
         context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 
 
+def drop_kept(spark: SparkSession) -> None:
+    """Delete all tables that this application has kept; results built on them are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/kept")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession

@@ -28,25 +28,52 @@ NOT_PART_OF_A_NUMBER = r"^\s*-?1\.#(?:IND|QNAN)\s*$|[^0-9.\-]"
 ISO_DATE = r"^\s*(\d{4}-\d{1,2}-\d{1,2}(?:[T ].*)?)$"
 
 
+# Written forms of dates that are looked for where no format is given, in this order; a
+# time may follow each. The forms of one row of the table differ in nothing but which of
+# day and month comes first.
+TIME_PART = "[ HH:mm[:ss]]"
+DATE_FORMS = (
+    ("yyyy/M/d",),
+    ("d/M/yyyy", "M/d/yyyy"),
+    ("d-M-yyyy", "M-d-yyyy"),
+    ("d.M.yyyy", "M.d.yyyy"),
+    ("d MMM yyyy",),
+    ("d-MMM-yyyy",),
+    ("MMM d, yyyy",),
+)
+
+
 class DataValidationError(Exception):
     """The ledger does not meet the minimum a screen needs."""
 
 
 # --- Scans ----------------------------------------------------------------
 
-def read_raw(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """A ledger as it lies on disk: delimited text (all columns text) or Parquet."""
+def _read_text(spark: SparkSession, path: str, line_breaks: bool) -> DataFrame:
+    """Delimited text with a header; a quote inside quotes is written twice."""
+    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+            .option("multiLine", line_breaks).csv(path))
+
+
+def read_raw(
+    spark: SparkSession, path: str, fmt: str | None = None, line_breaks: bool = True
+) -> DataFrame:
+    """A ledger as it lies on disk: delimited text (all columns text) or Parquet.
+
+    Quoted texts may hold line breaks, which keeps a file from being split. For files known
+    to have none, ``line_breaks=False`` lets tasks share one file.
+    """
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        return spark.read.option("header", True).option("multiLine", False).csv(path)
+        return _read_text(spark, path, line_breaks)
     if kind == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported file type: {kind}. Use csv or parquet.")
 
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
+def read_schedule(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """The loan schedule; columns are matched by name, extra columns are dropped."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = _read_text(spark, path, line_breaks)
     columns = {
         field.name: F.col(field.name).try_cast(field.dataType)
         if field.name in raw.columns
@@ -58,20 +85,38 @@ def read_schedule(spark: SparkSession, path: str) -> DataFrame:
 
 # --- Columns --------------------------------------------------------------
 
+def folded(header: str) -> str:
+    """The form in which headers are compared: case, outer blanks and inner blanks aside."""
+    return "_".join(header.strip(" ").split(" ")).lower()
+
+
 def match_columns(
     columns: Sequence[str], aliases: Mapping[str, Sequence[str]], required: bool
 ) -> dict[str, str]:
-    """Standard name -> name in the file, taking the first alias that occurs."""
-    by_key = {name.lower().strip().replace(" ", "_"): name for name in columns}
+    """Standard name -> header in the file.
+
+    Every alias stands for a standard name with a rank, its place in that name's list; of
+    the headers that stand for one name, the one of lowest rank is taken. Headers that fold
+    to the same form can't be told apart: if one of them is needed, that is an error.
+    """
+    meaning = {alias: (rank, standard) for standard, names in aliases.items()
+               for rank, alias in reversed(list(enumerate(names)))}
+    claims: dict[str, dict[int, list[str]]] = {standard: {} for standard in aliases}
+    for header in columns:
+        if folded(header) in meaning:
+            rank, standard = meaning[folded(header)]
+            claims[standard].setdefault(rank, []).append(header)
     matched = {}
-    for standard, candidates in aliases.items():
-        hit = next((by_key[c] for c in candidates if c in by_key), None)
-        if hit is not None:
-            matched[standard] = hit
-        elif required:
-            raise DataValidationError(
-                f"Missing required column: none of {list(candidates)} among {list(columns)}"
-            )
+    for standard, by_rank in claims.items():
+        if by_rank:
+            headers = by_rank[min(by_rank)]
+            if len(headers) > 1:
+                raise DataValidationError(f"Headers {headers} are the same name for {standard!r}.")
+            matched[standard] = headers[0]
+    absent = [standard for standard in aliases if standard not in matched]
+    if required and absent:
+        raise DataValidationError(
+            f"No header stands for {absent}; the file has {list(columns)}.")
     return matched
 
 
@@ -98,11 +143,42 @@ def parse_date(column: Column, formats: Sequence[str] = ()) -> Column:
     return F.coalesce(iso, *others)
 
 
+def detect_date_formats(raw: DataFrame) -> list[str]:
+    """The written form that fits most of the dates that are not ISO dates, counted over all rows.
+
+    One pass over the date column. No format if none fits. It is an error if day first and
+    month first fit equally many: nothing in the data tells them apart.
+    """
+    named = standardise_columns(raw)
+    if dict(named.dtypes)["date"] != "string":
+        return []
+    column = F.col("date")
+    other = parse_date(column).isNull()
+    forms = [form for group in DATE_FORMS for form in group]
+    fitting = named.agg(*(
+        F.count_if(other & F.try_to_timestamp(F.trim(column), F.lit(form + TIME_PART)).isNotNull())
+        .alias(f"form{i}") for i, form in enumerate(forms))).first()
+    counts = dict(zip(forms, fitting, strict=True))
+    best = max(forms, key=lambda form: counts[form])
+    if not counts[best]:
+        return []
+    for group in DATE_FORMS:
+        if best in group and len({counts[form] for form in group}) < len(group):
+            raise DataValidationError(
+                f"The dates fit {' and '.join(group)} equally well; name the format.")
+    return [best + TIME_PART]
+
+
 def parse_amount(column: Column) -> Column:
     """A plain number as it is; otherwise the digits, point and minus that remain."""
     plain = F.regexp_extract(column, PLAIN_NUMBER, 1).try_cast("double")
     cleaned = F.regexp_replace(column, NOT_PART_OF_A_NUMBER, "").try_cast("double")
-    return F.coalesce(plain, cleaned)
+    return finite(F.coalesce(plain, cleaned))
+
+
+def finite(number: Column) -> Column:
+    """Null for what is not a number and for what no double can hold."""
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def coerce_types(ledger: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
@@ -118,8 +194,7 @@ def coerce_types(ledger: DataFrame, date_formats: Sequence[str] = ()) -> DataFra
         if name == "amount":
             if types[name] == "string":
                 return parse_amount(column)
-            number = column.cast("double")
-            return F.when(~F.isnan(number), number)
+            return finite(column.cast("double"))
         return missing_to_null(column) if types[name] == "string" else column
 
     return ledger.select(*(typed(name).alias(name) for name in ledger.columns))
@@ -135,15 +210,20 @@ def standardise(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
 
 
 def load_ledger(
-    spark: SparkSession, path: str, date_formats: Sequence[str] = (), fmt: str | None = None
+    spark: SparkSession, path: str, date_formats: Sequence[str] | None = None,
+    fmt: str | None = None,
 ) -> DataFrame:
-    return standardise(read_raw(spark, path, fmt), date_formats)
+    """The ledger in a file; without formats, the form of its dates is looked for."""
+    raw = read_raw(spark, path, fmt)
+    return standardise(raw, detect_date_formats(raw) if date_formats is None else date_formats)
 
 
-def validate(raw: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
+def validate(raw: DataFrame, date_formats: Sequence[str] | None = None) -> DataFrame:
     """Like ``standardise``, but looks at the data and raises if nothing is left."""
     if raw.isEmpty():
         raise DataValidationError("The ledger contains no rows.")
+    if date_formats is None:
+        date_formats = detect_date_formats(raw)
     ledger = standardise(raw, date_formats)
     if ledger.isEmpty():
         raise DataValidationError("All rows were dropped. Check date and amount formats.")

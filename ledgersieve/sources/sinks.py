@@ -25,6 +25,10 @@ REPORT_ORDER = {
     "outliers_iqr": lambda: [F.col("amount").desc()],
     "outliers_zscore": lambda: [F.abs("z_score").desc()],
     "user_concentration": lambda: [F.col("concentration_ratio").desc()],
+    "timing": lambda: [F.col("date")],
+    "related_party": lambda: [F.col("related_party_category"), F.col("amount").desc()],
+    "related_party_fuzzy": lambda: [F.col("similarity_score").desc()],
+    "reconciliation_bars": lambda: [_urgency()],
     "risk_scored": lambda: [F.col("risk_score").desc()],
     "consolidated": lambda: [F.col("flag_count").desc(), F.col("amount").desc()],
     "reconciled": lambda: [_urgency(), F.abs("variance").desc_nulls_last()],

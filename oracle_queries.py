@@ -31,6 +31,14 @@ LL = """ll as (
          l_linestatus as description, 'Supplier ' || l_suppkey as counterparty
   from lineitem)"""
 
+# Ids that repeat, missing accounts and counterparties, years of dates; in place of the events
+EVR = """ev as (
+  select l_orderkey || '-' || l_linenumber as transaction_id, l_shipdate as date,
+         l_quantity as amount, case when l_linenumber <> 7 then l_returnflag end as account,
+         l_linestatus as description, 'Supplier ' || (l_suppkey % 40) as "user",
+         case when l_linenumber <> 6 then 'SUPPLIER  ' || (l_partkey % 97) end as counterparty
+  from lineitem)"""
+
 MESSY = """messy as (
   select 'T' || (o_orderkey // 2) as transaction_id,
     case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' then 'not-a-date'
@@ -78,7 +86,8 @@ balances as (
 
 RECONCILED = GL + f""",
 schedule as (
-  select 'LN' || o_orderkey as loan_id, 'Borrower ' || o_custkey as borrower,
+  select case o_orderpriority when '1-URGENT' then 'XL' else 'LN' end || o_orderkey as loan_id,
+         'Borrower ' || o_custkey as borrower,
          o_orderpriority as product,
          round_even((o_totalprice - coalesce(repaid, 0)) *
            case o_orderpriority when '2-HIGH' then 0.99::double when '3-MEDIUM' then 0.9::double
@@ -88,7 +97,6 @@ schedule as (
     select l_orderkey, cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(20,4)))
       as double) as repaid
     from lineitem where l_returnflag = 'R' group by l_orderkey) on o_orderkey = l_orderkey
-  where o_orderpriority <> '1-URGENT'
   union all
   select 'CU' || c_custkey, c_name, c_mktsegment, c_acctbal from customer),
 joined as (
@@ -241,7 +249,9 @@ def duplicates(source: str) -> str:
 dups as (
   select * exclude (after_previous, before_next),
     '{fv.DUPLICATE_GROUP_PREFIX}' || dense_rank() over (order by
-      counterparty || '|' || account || '|' || cast(amount as varchar)) as duplicate_group_id,
+      coalesce(counterparty, {quoted(fv.MISSING_KEY_TEXT)}) || '|' ||
+      coalesce(account, {quoted(fv.MISSING_KEY_TEXT)}) || '|' ||
+      cast(amount as varchar)) as duplicate_group_id,
     '{fv.DUPLICATE_PAYMENT_REASON % 3}' as flag_reason
   from gaps where after_previous <= interval 3 days or before_next <= interval 3 days)"""
 
@@ -280,14 +290,19 @@ contributions as (
   union all select transaction_id, 3, 'Benford''s Law', 10 from benford
   union all select transaction_id, 4 + {tier_order(EV_TIERS)},
     'Round Number (' || roundness_tier || ')', {tier_points(EV_TIERS)} from rounds
-  union all select transaction_id, 20, 'Related Party (' || related_party_category || ')',
+  union all select transaction_id,
+    case related_party_category when '{fv.SELF_DEALING}' then 20 else 21 end,
+    'Related Party (' || related_party_category || ')',
     case related_party_category when '{fv.SELF_DEALING}' then 45 else 20 end from related)"""
 
 SCORED = CONTRIBUTIONS + """,
 per_id as (
-  select transaction_id, sum(points) as base_score,
-         string_agg(label || ' (+' || points || ')', '; ' order by o) as score_breakdown
-  from contributions group by transaction_id),
+  select transaction_id, sum(n * points) as base_score,
+         string_agg(label || ' (+' || points || ')' || case when n > 1 then ' x' || n else '' end,
+           '; ' order by o) as score_breakdown
+  from (select transaction_id, o, label, points, count(*) as n from contributions
+        where transaction_id is not null group by all)
+  group by transaction_id),
 factored as (
   select e.*, case when median is null or median = 0 then 1.0
     else least(greatest(amount / median, 0.5), 2.0) end as materiality_factor
@@ -304,12 +319,16 @@ scored as (
 
 CONSOLIDATED = ALL + """,
 reasons as (
-  select transaction_id, 0 as method_no, flag_reason from benford
-  union all select transaction_id, 1, flag_reason from dups
-  union all select transaction_id, 2, flag_reason from rounds
-  union all select transaction_id, 3, flag_reason from outliers
-  union all select transaction_id, 4, flag_reason from high_risk
-  union all select transaction_id, 5, flag_reason from related),
+  select transaction_id, method_no, min(flag_reason)
+           || case when count(*) > 1 then ' x' || count(*) else '' end as flag_reason
+  from (
+    select transaction_id, 0 as method_no, '' as variant, flag_reason from benford
+    union all select transaction_id, 1, '', flag_reason from dups
+    union all select transaction_id, 2, roundness_tier, flag_reason from rounds
+    union all select transaction_id, 3, direction, flag_reason from outliers
+    union all select transaction_id, 4, flag_reason, flag_reason from high_risk
+    union all select transaction_id, 5, related_party_category, flag_reason from related)
+  group by transaction_id, method_no, variant),
 consolidated as (
   select e.*, flagged_benford, flagged_duplicate, flagged_round_number, flagged_outlier,
          flagged_journal_entry, flagged_related_party, flag_count, flag_reasons
@@ -532,6 +551,12 @@ union all select 'Related Party', count(*) from related"""
 select flag_count, count(*) as transactions from consolidated group by flag_count"""
     q["multi_flag_leads"] = CONSOLIDATED + "\nselect * from consolidated where flag_count >= 2"
 
+    for name in ("risk_scores", "consolidated_findings", "monthly_trend"):
+        repeated = name.replace("_findings", "") + "_repeated_ids"
+        q[repeated] = q[name].replace(EV, EVR)
+    q["duplicate_payments_open_parties"] = f"""with {EVR}, {duplicates('ev')}
+select {EV_COLUMNS}, duplicate_group_id, flag_reason from dups"""
+
     # Loans
     q["gl_loan_balances"] = f"with {GL}\nselect * from balances"
     q["loan_reconciliation"] = f"with {RECONCILED}\nselect * from reconciled"

@@ -98,7 +98,21 @@ def test_summary(ledger):
     assert none.first() == (0, 0, 0.0)
 
 
-def test_consecutive_numbers_beyond_the_number_of_marks(spark):
+def test_keys_that_read_alike_share_a_group(ledger):
+    rows = ledger(*({"counterparty": c, "account": a} for c, a in
+                    [("A|B", "C"), ("A|B", "C"), ("A", "B|C"), ("A", "B|C"), ("Z", "C"), ("Z", "C")]))
+    groups = [r[0] for r in duplicates.duplicate_payments(rows).orderBy("transaction_id").select(
+        "duplicate_group_id").collect()]
+    assert groups == ["DUP-GRP-1"] * 4 + ["DUP-GRP-2"] * 2
+
+
+def test_fractional_windows_are_named_as_given(ledger):
+    rows = duplicates.duplicate_payments(
+        ledger({"counterparty": "A"}, {"counterparty": "A"}), ScreenConfig(duplicate_window_days=0.5))
+    assert rows.first()["flag_reason"].endswith("within 0.5 day(s)")
+
+
+def test_consecutive_numbers_over_many_ranges(spark):
     texts = spark.range(3000).select(F.sha1(F.col("id").cast("string")).alias("text"))
     got = {r["text"]: r["no"] for r in consecutive_numbers(texts, "text", "no").collect()}
     assert got == {t: i for i, t in enumerate(sorted(got), 1)}

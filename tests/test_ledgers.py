@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from ledgersieve.functions import scalars as s
 from ledgersieve.sources import ledgers, sinks
 from tests.conftest import at
 
@@ -87,6 +89,63 @@ def test_csv_is_read_standardised_and_validated(spark, tmp_path):
         ledgers.read_raw(spark, str(tmp_path / "nowhere.csv")).count()
 
 
+def test_quoted_texts_hold_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('id,memo,date,amount,account\n1,"say ""hi"", ok",2025-01-06,5,A\n'
+                    '2,"two\nlines",2025-01-07,6,B\n')
+    rows = {r["transaction_id"]: r for r in ledgers.load_ledger(spark, str(path)).collect()}
+    assert rows["1"]["description"] == 'say "hi", ok' and rows["1"]["amount"] == 5.0
+    assert rows["2"]["description"] == "two\nlines" and rows["2"]["account"] == "B"
+    whole = ledgers.read_raw(spark, str(path), line_breaks=False)
+    assert whole.first()["memo"] == 'say "hi", ok'
+    (tmp_path / "loans.csv").write_text(
+        'loan_id,borrower,schedule_outstanding_balance\nL1,"Ann ""A""\nBo",7\n')
+    loan = ledgers.read_schedule(spark, str(tmp_path / "loans.csv")).first()
+    assert loan["borrower"] == 'Ann "A"\nBo' and loan["schedule_outstanding_balance"] == 7.0
+
+
+@pytest.mark.parametrize("texts, found", [
+    (["03/15/2025", "04/02/2025 08:15"], ["2025-03-15T00:00:00", "2025-04-02T08:15:00"]),
+    (["15/03/2025", "04/02/2025"], ["2025-03-15T00:00:00", "2025-02-04T00:00:00"]),
+    (["2025/03/05", "2025-03-06"], ["2025-03-05T00:00:00", "2025-03-06T00:00:00"]),
+    (["15 Mar 2025", "x"], ["2025-03-15T00:00:00", None]),
+    (["x", None], [None, None])])
+def test_written_forms_of_dates_are_found(frame, texts, found):
+    raw = frame(CANONICAL, *((str(i), t, "5", "A", "d") for i, t in enumerate(texts)))
+    typed = ledgers.coerce_types(raw, ledgers.detect_date_formats(raw)).orderBy("transaction_id")
+    assert [r["date"] for r in typed.collect()] == [at(f) if f else None for f in found]
+
+
+def test_dates_that_could_be_either_are_an_error(frame):
+    raw = frame(CANONICAL, ("1", "03/04/2025", "5", "A", "d"))
+    with pytest.raises(ledgers.DataValidationError, match="equally"):
+        ledgers.detect_date_formats(raw)
+
+
+def test_headers_that_fold_alike_are_an_error():
+    aliases = {"amount": ["amount", "value"], "date": ["date"]}
+    with pytest.raises(ledgers.DataValidationError, match="same name"):
+        ledgers.match_columns(["Amount", "amount ", "date"], aliases, required=True)
+    assert ledgers.match_columns(["amount", "Value", "VALUE", "Date"], aliases, required=True) == {
+        "amount": "amount", "date": "Date"}
+
+
+def test_amounts_no_double_holds_are_bad(frame):
+    raw = frame(CANONICAL, ("1", "2025-01-06", "1e999", "A", "d"), ("2", "2025-01-06", "4", "A", "d"))
+    assert ledgers.data_quality_report(raw).first()["bad_amounts_found"] == 1
+    typed = frame(CANONICAL.replace("amount string", "amount double"),
+                  ("1", "2025-01-06", float("inf"), "A", "d"))
+    assert ledgers.coerce_types(typed).first()["amount"] is None
+
+
+@pytest.mark.parametrize("values, total", [
+    ([1e16, 1.0, -1e16], 1.0), ([1e23, 2e23], 3e23), ([1e200, 1e200, 5.0], 2e200), ([0.1, 0.2], 0.3),
+    ([None], 0.0), ([1e24, -1e24, 7.5], 7.5)])
+def test_sums_of_any_size(frame, values, total):
+    got = frame("v double", *((v,) for v in values)).agg(s.total(F.col("v"))).first()[0]
+    assert got == pytest.approx(total, rel=1e-11)
+
+
 def test_schedule_columns_are_typed(spark, tmp_path):
     path = tmp_path / "schedule.csv"
     path.write_text("loan_id,borrower,product,officer,disbursement_date,disbursement_amount,"

@@ -83,10 +83,10 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("rows_per_bin", [1_000_000, 20, 0])
-def test_quantiles_equal_numpy(spark, monkeypatch, rows_per_bin):
-    # Smaller limits force one or all of the finer counts
-    monkeypatch.setattr(quantiles, "ROWS_PER_BIN", rows_per_bin)
+@pytest.mark.parametrize("per_e_fold", [1, 4096])
+def test_quantiles_equal_numpy(spark, monkeypatch, per_e_fold):
+    # Wide bins hold many different values
+    monkeypatch.setattr(quantiles, "PER_E_FOLD", per_e_fold)
     rng = np.random.default_rng(3)
     data = {name: shape(rng) for name, shape in SHAPES.items()}
     rows = spark.createDataFrame(
@@ -102,6 +102,16 @@ def test_quantiles_equal_numpy(spark, monkeypatch, rows_per_bin):
                                 abs_tol=1e-300), (name, label)
 
 
+def test_infinite_amounts_are_the_outermost(spark):
+    rows = spark.createDataFrame(
+        [("a", v) for v in (float("inf"), 1.0, 2.0, 3.0, float("-inf"), float("nan"))]
+        + [("b", float("inf"))], "name string, v double")
+    got = {r["name"]: tuple(r)[1:] for r in grouped_quantiles(
+        rows, ["name"], F.col("v"), {"low": 0.0, "mid": 0.5, "high": 1.0}).collect()}
+    assert got["a"][:3] == (5, float("-inf"), 2.0) or got["a"][0] == 5 and got["a"][2] == 2.0
+    assert got["b"][0] == 1 and got["b"][2] == float("inf")
+
+
 def test_statistics_are_exact_when_one_account_holds_most_rows(ledger, spark):
     rows = spark.range(30_000).select(
         F.concat(F.lit("T"), F.col("id").cast("string")).alias("transaction_id"),

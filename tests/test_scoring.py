@@ -88,19 +88,17 @@ def test_repeated_ids_add_up_on_every_row(ledger):
     result = scoring.score(marked, scoring.id_scores(found))
     got = [tuple(r) for r in result.filter("transaction_id = 'A'").select(
         "base_score", "score_breakdown").collect()]
-    assert got == [(100, "Duplicate Payment (+40); Duplicate Payment (+40); "
-                         "Benford's Law (+10); Benford's Law (+10)")] * 2
+    assert got == [(100, "Duplicate Payment (+40) x2; Benford's Law (+10) x2")] * 2
     assert result.count() == 3
 
 
-def test_long_repeats_are_counted_instead_of_spelled(ledger):
+def test_repeats_are_counted(ledger):
     rows = ledger(*({"transaction_id": "A"} for _ in range(7)))
     marked = annotated(rows, {"A": {"benford_hit": True}})
-    cfg = ScreenConfig(breakdown_repeat_limit=5)
     found = scoring.findings(marked, rows.limit(0))
-    row = scoring.id_scores(found, cfg).first()
+    row = scoring.id_scores(found).first()
     assert (row["base_score"], row["score_breakdown"]) == (70, "Benford's Law (+10) x7")
-    merged = consolidation.consolidate(rows, consolidation.flag_reasons(found, cfg), cfg)
+    merged = consolidation.consolidate(rows, consolidation.flag_reasons(found))
     assert merged.count() == 7 and merged.first()["flag_reasons"].endswith("distribution x7")
 
 

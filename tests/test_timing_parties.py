@@ -1,5 +1,9 @@
 import difflib
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -96,6 +100,29 @@ def test_related_parties(ledger):
     assert roster == {"alice": "Alice", "bob": "Bob", "": " "}
 
 
+def test_summary_counts_near_matches(ledger):
+    rows = ledger({"user": "Alice", "counterparty": "alice"}, {"user": "Alice", "counterparty": "Alise"})
+    got = parties.related_party_summary(
+        parties.flag_related_party(rows), parties.flag_fuzzy_related_party(rows))
+    assert {tuple(r) for r in got.collect()} == {("Self-dealing", 1), ("Near match", 1)}
+
+
+def test_workers_find_the_package_from_anywhere(tmp_path):
+    """Near matches run code of the package in workers, whatever folder the driver runs in."""
+    code = (
+        f"import sys; sys.path.insert(0, {str(Path(__file__).parents[1])!r})\n"
+        "from ledgersieve.session import local_session\n"
+        "from ledgersieve.operators import parties\n"
+        "spark = local_session(1, 'elsewhere')\n"
+        "names = spark.createDataFrame([('alise',)], 'name string')\n"
+        "staff = spark.createDataFrame([('alice',)], 'normalized_name string')\n"
+        "print(parties.closest_staff(names, staff, 0.75).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith("PYSPARK")}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True,
+                          text=True, timeout=240)
+    assert done.stdout.strip().endswith("1"), done.stderr[-2000:]
+
+
 @pytest.mark.parametrize("missing", ["user", "counterparty"])
 def test_related_parties_need_both_columns(ledger, missing):
     rows = ledger({"user": "Alice", "counterparty": "Alice"}).drop(missing)
@@ -120,7 +147,8 @@ def test_an_id_with_an_exact_match_is_not_a_candidate(ledger):
     assert [r["transaction_id"] for r in parties.flag_fuzzy_related_party(rows).collect()] == [None]
 
 
-def test_closest_staff_equals_scoring_everyone(spark, monkeypatch):
+@pytest.mark.parametrize("cutoff", [0.6, 0.75, 0.9])
+def test_closest_staff_equals_scoring_everyone(spark, cutoff):
     rng = random.Random(11)
     first = ["asha", "neema", "juma", "rehema", "joseph", "josephine", "tide", "diet", "anna"]
     last = ["mrema", "mremi", "kway", "lyimo", "lymo", "temba", "tembo", "ngowi", "bb"]
@@ -134,15 +162,12 @@ def test_closest_staff_equals_scoring_everyone(spark, monkeypatch):
                 letters[rng.randrange(len(letters))] = rng.choice("abeimorst ")
         names.append("".join(letters))
     names = sorted(set(names) - {""})
-    # Several blocks on both sides, as with many names
-    monkeypatch.setattr(parties, "NAMES_PER_BLOCK", 17)
-    monkeypatch.setattr(parties, "STAFF_PER_BLOCK", 6)
     got = {r["name"]: (r["normalized_name"], r["similarity"]) for r in parties.closest_staff(
         spark.createDataFrame([(n,) for n in names], "name string"),
-        spark.createDataFrame([(n,) for n in staff], "normalized_name string"), 0.75).collect()}
+        spark.createDataFrame([(n,) for n in staff], "normalized_name string"), cutoff).collect()}
     expected = {}
     for name in names:
-        match = difflib.get_close_matches(name, staff, n=1, cutoff=0.75)
+        match = difflib.get_close_matches(name, staff, n=1, cutoff=cutoff)
         if match:
             expected[name] = (match[0], difflib.SequenceMatcher(None, name, match[0]).ratio())
     assert expected and got == expected
