@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import public_tokenizers
 from ledgersieve.llm import (
-    boosted_rules, bpe_counts, decontaminate, packing, passages, pieces, pii, secret_scan, simhash, weak_quality,
+    boosted_rules, bpe_counts, decontaminate, packing, passages, pieces, pii, pii_sql, secret_scan,
+    simhash, weak_quality,
 )
 from ledgersieve.llm.common import documents
 
@@ -60,4 +61,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need fingerprints, learned models, merges or a parser, which SQL has not."""
+    return {"op5_personal_data": pii_sql.sql()}
