@@ -48,12 +48,12 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about CHARS_PER_CALL characters each, so that memory is bounded."""
+def slices(texts: Sequence[str | None], chars: int = CHARS_PER_CALL) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``chars`` characters each, so that memory is bounded."""
     start = held = 0
     for at, text in enumerate(texts):
         held += len(text or "")
-        if held >= CHARS_PER_CALL:
+        if held >= chars:
             yield start, at + 1
             start, held = at + 1, 0
     if start < len(texts):
