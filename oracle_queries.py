@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgersieve import fixed_values as fv
+import oracle_texts as fv
 
 # --- Ledgers, as in driver_views.py -------------------------------------------
 
