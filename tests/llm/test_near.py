@@ -170,7 +170,7 @@ def test_leaks_equal_a_plain_search(spark, docs_of):
         at = rnd.randint(0, len(words))
         words[at:at] = part
         docs.append((doc, rnd.choice([" ", "\n", " \t "]).join(words).upper()))
-    docs += ODD_TEXTS[3:7] + [(900, items[6][1]), (900, items[6][1]), (None, "x " + items[6][1])]
+    docs += [(800 + i, t) for i, t in ODD_TEXTS[3:7]] + [(900, items[6][1]), (900, items[6][1]), (None, "x " + items[6][1])]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, similarity string")
     found = decontaminate.contaminated(docs_of(docs), table).collect()
     want = plain_leaks(docs, items)
