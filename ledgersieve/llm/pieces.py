@@ -24,7 +24,6 @@ import hashlib
 import heapq
 import re
 from array import array
-from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,7 +32,7 @@ from ledgersieve.llm.common import map_texts, pick, vocabulary
 
 MARK = "▁"
 UNKNOWN_SIGN = " ⁇ "
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 NORMAL, UNKNOWN, USER, BYTE, UNIGRAM, BPE = 1, 2, 4, 6, 1, 2
 _NEVER = float("inf")
 
@@ -146,35 +145,41 @@ class PieceCoder:
 
     def _forward(self, word: str, states: list[tuple[str, float]]) -> None:
         """Append the state of every prefix longer than those that ``states`` has."""
-        tails, fits = self.tails, self.fits
+        best = self._cheapest if self.kind == UNIGRAM else self._unmerged
+        tails = self.tails
         for end in range(len(states), len(word) + 1):
-            ending = []  # pieces that end here, shortest first, each with where it starts
-            for start in range(end - 1, -1, -1):
-                piece = word[start:end]
-                whole = tails.get(piece)
-                if whole is None:
-                    break
+            ending = []  # starts of the pieces that end here, the shortest piece first
+            start = end - 1
+            whole = tails.get(word[start:end])
+            while whole is not None:
                 if whole:
-                    ending.append((piece, start))
-            states.append(self._best(word, end, ending, states, fits))
-
-    def _best(self, word, end, ending, states, fits) -> tuple[str, float]:
-        letter = word[end - 1]
-        if self.kind == UNIGRAM:
-            options = [(states[start][1] + self.cost[piece], piece) for piece, start in ending]
-            if letter not in self.cost:
-                options.append((states[end - 1][1] + self.strange, letter))
-            total, piece = min(options, key=lambda option: option[0])
-            return piece, total
-        for piece, start in reversed(ending):
-            before = states[start][0]
-            good = fits.get((before, piece))
+                    ending.append(start)
+                if not start:
+                    break
+                start -= 1
+                whole = tails.get(word[start:end])
+            states.append(best(word, end, ending, states))
+
+    def _cheapest(self, word, end, ending, states) -> tuple[str, float]:
+        """Of the pieces that end here, the one with the highest sum of scores."""
+        options = [(states[start][1] + self.cost[word[start:end]], word[start:end]) for start in ending]
+        if word[end - 1] not in self.cost:
+            options.append((states[end - 1][1] + self.strange, word[end - 1]))
+        total, piece = min(options, key=lambda option: option[0])
+        return piece, total
+
+    def _unmerged(self, word, end, ending, states) -> tuple[str, float]:
+        """The piece that ends here and whose border no merge crosses."""
+        fits = self.fits
+        for start in reversed(ending):
+            pair = states[start][0], word[start:end]
+            good = fits.get(pair)
             if good is None:
-                good = fits[before, piece] = bool(self._edges(piece)) and (
-                    before not in self.cost or self.beside(before, piece))
+                good = fits[pair] = bool(self._edges(pair[1])) and (
+                    pair[0] not in self.cost or self.beside(*pair))
             if good:
-                return piece, 0.0
-        return letter, 0.0
+                return pair[1], 0.0
+        return word[end - 1], 0.0
 
     def _ids(self, pieces: list[str]) -> bytes:
         out = []
@@ -195,7 +200,12 @@ class PieceCoder:
             if self.kind == BPE and word.startswith(MARK * 2):
                 self.known[word] = self._ids(self.merged(word))  # marks merge at equal scores
                 continue
-            del states[len(commonprefix((last, word))) + 1:]
+            shared = 0
+            for a, b in zip(last, word):
+                if a != b:
+                    break
+                shared += 1
+            del states[shared + 1:]
             self._forward(word, states)
             pieces, end = [], len(word)
             while end:
@@ -208,7 +218,7 @@ class PieceCoder:
         """Piece ids of each whole text."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.fits) > 4 * REMEMBERED:
+        if len(self.fits) > 2 * REMEMBERED:
             self.fits.clear()
         start = MARK if self.prefix else ""
         found = [self.cut.findall(start + t.replace(" ", MARK)) if t else [] for t in texts]
