@@ -73,10 +73,16 @@ class PieceCoder:
         inside = any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cut = re.compile("(?s).+" if inside else
                               f"{MARK}+[^{MARK}{apart}]*|[^{MARK}{apart}]+|{other}")
-        #: All ends of pieces; true for whole pieces.
-        self.tails = {p[i:]: False for p in self.ids for i in range(1, len(p))} | dict.fromkeys(self.ids, True)
+        #: Pieces read from their last letter to the first; "" leads to a whole piece.
+        self.endings: dict = {}
+        for p in self.ids:
+            node = self.endings
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = p
         self.spines: dict[str, tuple | None] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.coded: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     def merged(self, word: str, trail: list[str] | None = None) -> list[str]:
@@ -143,43 +149,48 @@ class PieceCoder:
             else:
                 j += 1
 
-    def _forward(self, word: str, states: list[tuple[str, float]]) -> None:
-        """Append the state of every prefix longer than those that ``states`` has."""
+    def _forward(self, word: str, states: list[tuple[str, bytes, float]]) -> None:
+        """Append the state of every prefix longer than those that ``states`` has.
+
+        A state is the last piece, the ids of all pieces so far, and their cost.
+        """
         best = self._cheapest if self.kind == UNIGRAM else self._unmerged
-        tails = self.tails
         for end in range(len(states), len(word) + 1):
-            ending = []  # starts of the pieces that end here, the shortest piece first
-            start = end - 1
-            whole = tails.get(word[start:end])
-            while whole is not None:
-                if whole:
-                    ending.append(start)
-                if not start:
-                    break
+            ending = []  # pieces that end here, the shortest first, and where they start
+            node, start = self.endings, end
+            while start:
                 start -= 1
-                whole = tails.get(word[start:end])
-            states.append(best(word, end, ending, states))
-
-    def _cheapest(self, word, end, ending, states) -> tuple[str, float]:
+                node = node.get(word[start])
+                if node is None:
+                    break
+                if "" in node:
+                    ending.append((node[""], start))
+            piece, start, total = best(word[end - 1], end, ending, states)
+            coded = self.coded.get(piece)
+            if coded is None:
+                coded = self.coded[piece] = self._ids([piece])
+            states.append((piece, states[start][1] + coded, total))
+
+    def _cheapest(self, letter, end, ending, states) -> tuple[str, int, float]:
         """Of the pieces that end here, the one with the highest sum of scores."""
-        options = [(states[start][1] + self.cost[word[start:end]], word[start:end]) for start in ending]
-        if word[end - 1] not in self.cost:
-            options.append((states[end - 1][1] + self.strange, word[end - 1]))
-        total, piece = min(options, key=lambda option: option[0])
-        return piece, total
+        options = [(states[start][2] + self.cost[piece], piece, start) for piece, start in ending]
+        if letter not in self.cost:
+            options.append((states[end - 1][2] + self.strange, letter, end - 1))
+        total, piece, start = min(options, key=lambda option: option[0])
+        return piece, start, total
 
-    def _unmerged(self, word, end, ending, states) -> tuple[str, float]:
+    def _unmerged(self, letter, end, ending, states) -> tuple[str, int, float]:
         """The piece that ends here and whose border no merge crosses."""
         fits = self.fits
-        for start in reversed(ending):
-            pair = states[start][0], word[start:end]
+        for piece, start in reversed(ending):
+            pair = states[start][0], piece
             good = fits.get(pair)
             if good is None:
-                good = fits[pair] = bool(self._edges(pair[1])) and (
+                good = fits[pair] = bool(self._edges(piece)) and (
                     pair[0] not in self.cost or self.beside(*pair))
             if good:
-                return pair[1], 0.0
-        return word[end - 1], 0.0
+                return piece, start, 0.0
+        return letter, end - 1, 0.0
 
     def _ids(self, pieces: list[str]) -> bytes:
         out = []
@@ -194,7 +205,7 @@ class PieceCoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words, depth-first through the trie that their order spells."""
-        states: list[tuple[str, float]] = [("", 0.0)]
+        states: list[tuple[str, bytes, float]] = [("", b"", 0.0)]
         last = ""
         for word in sorted(words):
             if self.kind == BPE and word.startswith(MARK * 2):
@@ -207,11 +218,7 @@ class PieceCoder:
                 shared += 1
             del states[shared + 1:]
             self._forward(word, states)
-            pieces, end = [], len(word)
-            while end:
-                pieces.append(states[end][0])
-                end -= len(pieces[-1])
-            self.known[word] = self._ids(pieces[::-1])
+            self.known[word] = states[-1][1]
             last = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
