@@ -214,6 +214,46 @@ def test_tiny_batches_have_shingles():
         assert (values > 0).sum() == sum(max(len((t or "").split()) - 4, 0) for t in texts)
 
 
+def regions_of(*texts):
+    return [v[v > 0] for v in (passages.shingle_values([t])[0] for t in texts)]
+
+
+def plain_passage(ours, theirs):
+    """Whether a range of each, from and to equal shingles, is alike: every range is tried."""
+    for a in range(len(ours)):
+        for b in np.flatnonzero(theirs == ours[a]):
+            for n in range(passages.LEAST, len(ours) - a + 1):
+                for m in np.flatnonzero(theirs[b:] == ours[a + n - 1]) + 1:
+                    if m >= passages.LEAST and passages._likeness(ours[a:a + n], theirs[b:b + m]) >= 0.8:
+                        return True
+    return False
+
+
+@pytest.mark.parametrize("size", [56, 60, 90])
+def test_edits_of_several_words_are_verified(size):
+    rnd, found = random.Random(size), 0
+    for case in range(24):
+        words = prose(7000 + size, size).split()
+        other, at = list(words), rnd.randint(5, size - 7)
+        if case % 4 == 0:
+            other[at:at + 2] = ["changed", "words"]
+        elif case % 4 == 1:
+            other[at:at] = ["two", "added"]
+        elif case % 4 == 2:
+            del other[at:at + 2]
+        else:
+            other[at:at + 3] = ["three", "changed", "words"]
+        both = regions_of(*[" ".join([prose(c + case, 30), *w, prose(c + 50 + case, 30)])
+                            for c, w in ((1, words), (200, other))])
+        told = passages.agree(*both)
+        assert bool(told) == plain_passage(*both)
+        found += len(told)
+        assert all(n >= passages.LEAST <= m and like >= 0.8
+                   and passages._likeness(both[0][a:a + n], both[1][b:b + m]) == like
+                   for a, n, b, m, like in told)
+    assert found >= (6 if size < 90 else 24)
+
+
 def test_planted_passages_are_found_and_verified(docs_of):
     rnd = random.Random(8)
     shared = [prose(1000 + i, n) for i, n in enumerate((51, 55, 70, 200))]
