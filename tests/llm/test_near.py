@@ -254,6 +254,19 @@ def test_edits_of_several_words_are_verified(size):
     assert found >= (6 if size < 90 else 24)
 
 
+@pytest.mark.parametrize("between", [0, 2, 7, 12, 20, 40, 60, 90])
+def test_passages_side_by_side_are_all_told(between):
+    first, second = prose(41, 60), prose(42, 60)
+    for parts in ((first, second), (second, first), (first, second, first)):
+        ours, theirs = regions_of(" ".join((prose(43, 20), first, second, prose(44, 20))),
+                                  prose(45, between + 1).join(f" {p} " for p in parts))
+        told = passages.agree(ours, theirs)
+        covered = {x for a, n, *_ in told for x in range(a, a + n)}
+        assert covered >= {*range(20, 76), *range(80, 136)}
+        assert sum(n for _, n, *_ in told) == len(covered)
+        assert passages.agree(theirs, ours)
+
+
 def test_planted_passages_are_found_and_verified(docs_of):
     rnd = random.Random(8)
     shared = [prose(1000 + i, n) for i, n in enumerate((51, 55, 70, 200))]
