@@ -297,6 +297,18 @@ def test_planted_passages_are_found_and_verified(docs_of):
     assert named == planted | {0, 80, 81}
 
 
+def test_near_passages_of_the_shortest_kind_are_all_found(docs_of):
+    rows = []
+    for case in range(200):
+        words = prose(20_000 + case, 51).split()
+        other = list(words)
+        other[20 + case % 10] = "changed"
+        rows += [(2 * case, " ".join((prose(30_000 + case, 20), *words, prose(40_000 + case, 20)))),
+                 (2 * case + 1, " ".join((prose(50_000 + case, 20), *other, prose(60_000 + case, 20))))]
+    found = passages.repeats(docs_of(rows)).collect()
+    assert {tuple(sorted((r.doc_id, r.source_doc_id))) for r in found} == {(i, i + 1) for i in range(0, 400, 2)}
+
+
 def test_passages_of_odd_rows(docs_of, no_docs):
     rows = passages.repeats(docs_of(ODD_TEXTS)).collect()
     assert Counter((r.doc_id, r.source_doc_id) for r in rows if r.similarity == 1 and r.n_words == 120) \
