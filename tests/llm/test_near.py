@@ -309,6 +309,31 @@ def test_near_passages_of_the_shortest_kind_are_all_found(docs_of):
     assert {tuple(sorted((r.doc_id, r.source_doc_id))) for r in found} == {(i, i + 1) for i in range(0, 400, 2)}
 
 
+def test_members_that_a_leader_fails_are_compared(docs_of):
+    rows, pairs = [], set()
+    for case in range(60):
+        line, rest = prose(70_000 + case, 40), prose(71_000 + case, 11)
+        rows += [(10 * case + i, " ".join((prose(72_000 + 10 * case + i, 30), line, rest if i < 2 else "",
+                                           prose(73_000 + 10 * case + i, 30)))) for i in range(6)]
+        pairs.add((10 * case, 10 * case + 1))
+    found = passages.repeats(docs_of(rows)).collect()
+    assert {tuple(sorted((r.doc_id, r.source_doc_id))) for r in found} == pairs
+
+
+def test_every_place_of_a_leader_is_compared(docs_of):
+    rows, pairs = [], set()
+    for case in range(40):
+        line, rest = prose(80_000 + case, 40), prose(81_000 + case, 20).split()
+        near = list(rest)
+        near[10] = "changed"
+        rows += [(10 * case, " ".join((prose(82_000 + case, 30), line, prose(83_000 + case, 200), line, *rest))),
+                 (10 * case + 1, " ".join((prose(84_000 + case, 30), line, *near, prose(85_000 + case, 9)))),
+                 (10 * case + 2, " ".join((line, prose(86_000 + case, 300), line, *rest)))]
+        pairs |= {10 * case, 10 * case + 1, 10 * case + 2}
+    found = passages.repeats(docs_of(rows)).collect()
+    assert {r.doc_id for r in found} | {r.source_doc_id for r in found} == pairs
+
+
 def test_passages_of_odd_rows(docs_of, no_docs):
     rows = passages.repeats(docs_of(ODD_TEXTS)).collect()
     assert Counter((r.doc_id, r.source_doc_id) for r in rows if r.similarity == 1 and r.n_words == 120) \
