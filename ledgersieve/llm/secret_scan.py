@@ -9,8 +9,8 @@ to and by its own shape; from THRESHOLD up, each literal it is made of is a span
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; a
 null doc_id stays null; other columns are ignored; an empty table gives an empty result.
-Texts are scanned whole. A value made of many parts is scored by its first 4,096 characters;
-its literals are reported wherever they stand.
+Texts are scanned whole, and values are scored whole: those of a sum by counts of characters
+added up, and by the ends where its parts meet.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ SENSITIVE = frozenset(("password passwd passphrase pwd pass secret token apikey
                        "credentials auth bearer private signing").split())
 HARMLESS = ("example", "changeme", "placeholder", "redacted", "dummy", "xxxx", "****", "<", "${", "{{")
 THRESHOLD = 0.7
-_SCORED = 4096
+#: Characters of a value's ends that can be part of a mark that goes on in the next part.
+_EDGE = max(map(len, HARMLESS)) - 1
 
 _LEXER = re.compile(r"""
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
@@ -58,13 +59,47 @@ _LEXER = re.compile(r"""
 _ASSIGNS = frozenset((":=", "=>", "=", ":"))
 
 
+@dataclass
+class Shape:
+    """What a value is scored by; that of a sum follows from those of its parts."""
+    counts: Counter
+    length: int
+    harmless: bool
+    head: str
+    tail: str
+
+    @classmethod
+    def of(cls, text: str) -> Shape:
+        low = text.lower()
+        return cls(Counter(text), len(text), any(x in low for x in HARMLESS), low[:_EDGE], low[-_EDGE:])
+
+    def __add__(self, other: Shape) -> Shape:
+        border = self.tail + other.head
+        return Shape(self.counts + other.counts, self.length + other.length,
+                     self.harmless or other.harmless or any(x in border for x in HARMLESS),
+                     (self.head + other.head)[:_EDGE], (self.tail + other.tail)[-_EDGE:])
+
+
 @dataclass
 class Value:
-    """A literal (with its span) or a sum of values; ``text`` is what is scored."""
+    """A literal (with its span) or a sum of values, whose shape is known at once."""
     text: str
     span: tuple[int, int] | None = None
     parts: tuple[Value, ...] = ()
     told: bool = False
+    known: Shape | None = None
+
+    def shape(self) -> Shape:
+        if self.known is None:
+            self.known = Shape.of(self.text)
+        return self.known
+
+
+def added(parts: list[Value]) -> Value:
+    total = parts[0].shape()
+    for part in parts[1:]:
+        total = total + part.shape()
+    return Value("", None, tuple(parts), known=total)
 
 
 def sensitive(name: str) -> float:
@@ -75,14 +110,15 @@ def sensitive(name: str) -> float:
         0.4 if parts == ["key"] else 0.5
 
 
-def shape(text: str) -> float:
+def shape(value: Shape) -> float:
     """How much a value looks made by a generator rather than written by a person."""
-    if len(text) < 6 or any(x in text.lower() for x in HARMLESS) or " " in text:
+    counts, length = value.counts, value.length
+    if length < 6 or value.harmless or counts[" "]:
         return -1.0
-    counts = Counter(text)
-    bits = -sum(n / len(text) * math.log2(n / len(text)) for n in counts.values())
+    shares = [n / length for n in counts.values()]
+    bits = -sum(x * math.log2(x) for x in shares if x)
     kinds = sum(any(test(c) for c in counts) for test in (str.isdigit, str.isupper, str.islower))
-    return 0.1 * (len(text) >= 8) + 0.1 * (len(text) >= 16) + 0.15 * (bits >= 2.5) \
+    return 0.1 * (length >= 8) + 0.1 * (length >= 16) + 0.15 * (bits >= 2.5) \
         + 0.15 * (bits >= 3.3) + 0.1 * (kinds >= 2)
 
 
@@ -103,7 +139,7 @@ def literals(text: str) -> list[tuple[int, int]]:
         while near and at < len(tokens) and "\n" not in text[end:tokens[at][2]]:
             kind, word, start, end = tokens[at]
             if kind == "string":
-                parts.append(Value(word[1:-1][:_SCORED], (start + 1, end - 1)))
+                parts.append(Value(word[1:-1], (start + 1, end - 1)))
             elif kind in ("name", "bare"):
                 after = tokens[at + 1][1] if at + 1 < len(tokens) else ""
                 if after in _ASSIGNS:
@@ -113,7 +149,7 @@ def literals(text: str) -> list[tuple[int, int]]:
                     at += 1  # a bare literal goes on until something stands between
                     end = tokens[at][3]
                 word = text[start:end]
-                parts.append(held.get(word) or Value(word[:_SCORED], (start, end)))
+                parts.append(held.get(word) or Value(word, (start, end)))
             else:
                 break
             at += 1
@@ -123,11 +159,10 @@ def literals(text: str) -> list[tuple[int, int]]:
                 break
         if not parts:
             continue
-        value = parts[0] if len(parts) == 1 else \
-            Value("".join(p.text for p in parts)[:_SCORED], None, tuple(parts))
+        value = parts[0] if len(parts) == 1 else added(parts)
         held[name] = value
         asked = sensitive(name)
-        if asked and asked + shape(value.text) >= THRESHOLD:
+        if asked and asked + shape(value.shape()) >= THRESHOLD:
             todo = [value]
             while todo:
                 one = todo.pop()

@@ -112,6 +112,19 @@ def test_literals_reach_sensitive_names():
     assert flagged('a = "first"\na = "Zx9Kq2Lm4Np8Rt6V"\nsecret = a') == ["Zx9Kq2Lm4Np8Rt6V"]
 
 
+def test_values_are_scored_whole():
+    plain, odd = "-" * 5000, "kT9xQ2mVb7Lw4RzP"
+    assert flagged(f'a = "{plain}"\nkey = a + "{odd}"') == [plain, odd]
+    assert flagged(f'key = "{plain}{odd}"') == [plain + odd]
+    long = odd * 300
+    for tail in ("example", "exam"):
+        rest = "ple" * (tail == "exam")
+        assert flagged(f'password = "{long}" + "{tail}" + "{rest}"') == []
+    assert flagged(f'password = "{long}{"changeme"}"') == []
+    doubled = "\n".join(["a = a + a"] * 3000)
+    assert flagged(f'a = "{odd}"\n{doubled}\npassword = a') == [odd]
+
+
 def test_harmless_literals_stay():
     assert flagged('title = "aB3dE5gH7jK9mN1p"') == []
     assert flagged('secret = "changeme"\ntoken_count = 123456789') == []
