@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgersieve.llm import (
-    boosted_rules, bpe_counts, decontaminate, packing, passages, pieces, pii, pii_sql, secret_scan,
-    simhash, weak_quality,
+    boosted_rules, bpe_counts, decontaminate, divergence, hard_negatives, packing, passages, pieces,
+    pii, pii_sql, secret_scan, simhash, warc, weak_quality,
 )
 from ledgersieve.llm.common import documents
 
@@ -45,6 +45,15 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
         documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def _archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(spark.read.parquet(f"{folder}/pages.parquet")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def _negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_weak_quality": lambda spark, folder: weak_quality.classify(documents(spark, folder)),
@@ -57,9 +66,18 @@ def queries() -> dict[str, Query]:
         "op8_pieces": _pieces,
         "op9_secrets": lambda spark, folder: secret_scan.scan(documents(spark, folder)),
         "op10_repeated_passages": lambda spark, folder: passages.repeats(documents(spark, folder)),
+        "op11_source_divergence": lambda spark, folder: divergence.divergence(
+            documents(spark, folder)),
+        "op12_web_archives": _archives,
+        "op13_hard_negatives": _negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need fingerprints, learned models, merges or a parser, which SQL has not."""
-    return {"op5_personal_data": pii_sql.sql()}
+    return {
+        "op5_personal_data": pii_sql.sql(),
+        "op11_source_divergence": divergence.sql(),
+        "op12_web_archives": warc.sql(),
+        "op13_hard_negatives": hard_negatives.sql(),
+    }

@@ -1,0 +1,67 @@
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from ledgersieve.llm import divergence
+
+from .conftest import prose
+
+WORD = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+SCHEMA = "doc_id long, text string, lang string, source string, Text string, term string"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain(rows, min_docs=3, top=200):
+    """Every kept term of every pair, one after the other."""
+    words = defaultdict(list)
+    for text, lang, source in rows:
+        words[lang or "", source or ""].append(WORD.findall((text or "").translate(LOWER)))
+    out = set()
+    for lang in {lang for lang, _ in words}:
+        groups = {s: Counter(w for t in texts for w in t) for (l, s), texts in words.items() if l == lang}
+        held = Counter(w for (l, _), texts in words.items() if l == lang for t in texts for w in set(t))
+        kept = [w for w, n in held.items() if n >= min_docs]
+        all_of = sum(groups.values(), Counter())
+
+        def shares(counts):
+            total = sum(counts[w] for w in kept)
+            return {w: 1 + 10**9 * (counts[w] + 1) // (total + len(kept)) for w in kept}
+
+        p, q = {s: shares(c) for s, c in groups.items()}, shares(all_of)
+        for s in groups:
+            pairs = [(o, sum((p[s][w] - p[o][w]) ** 2 // p[o][w] for w in kept)) for o in groups if o != s]
+            terms = [(w, (p[s][w] - q[w]) ** 2 // q[w]) for w in kept
+                     if groups[s][w] and p[s][w] > q[w]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                found.sort(key=lambda x: (-x[1], x[0].encode()))
+                out |= {(lang, s, part, item, value, rank)
+                        for rank, (item, value) in enumerate(found[:most], 1)}
+    return out
+
+
+ODD = [(None, None, None), ("", "en", None), ("1 2 . \x00\x7f", "en", "digits"), ("a", "de", "one"),
+       ("É é ſ Kelvin K\x85x 😀😀 The THE the", "en", "a"), ("the É é the", "en", "b"),
+       ("the É", "en", "b"), ("the É", "en", "b"), ("x" * 300_000 + " the", "en", "c"),
+       ("Tie tie", "en", "c"), ("tie eit", "en", "d"), ("eit eit tie", "en", "c"), ("eit", "en", "e")]
+
+
+@pytest.mark.parametrize("rows", [
+    ODD, [], [(prose(i % 40, 30 + i), ("en", "de")[i % 2], f"s{(i * i) % 7}") for i in range(120)]])
+def test_values_are_those_of_every_term(spark, rows):
+    docs = spark.createDataFrame([(1, *row, "clash", "clash") for row in rows], SCHEMA)
+    found = [tuple(r) for r in divergence.divergence(docs, top_terms=5).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == plain(rows, top=5)
+
+
+def test_long_texts_are_cut_between_words_and_counts_handed_on(monkeypatch):
+    monkeypatch.setattr(divergence, "STRETCH", 64)
+    text = (" ".join(prose(i, 9) for i in range(50)) + " " + "y" * 500 + " Z").encode()
+    assert divergence.count_terms(text) == Counter(text.lower().replace(b".", b" ").split())
+
+
+def test_counts_beyond_a_double_stay_exact(spark):
+    big = 9_007_199_254_740_993
+    row = spark.range(1).selectExpr(f"{big}L as n", f"{big + 2}L as total", "3L as terms")
+    assert row.select(divergence._share("n", "total")).first()[0] == 1 + 10**9 * (big + 1) // (big + 5)
