@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgersieve import fixed_values as fv
 from ledgersieve.config import ScreenConfig
 from ledgersieve.functions import scalars as s
-from ledgersieve.shipping import ship_package
+from ledgersieve.operators.near_names import closest_staff
 from ledgersieve.sources.kept import kept
 
 
@@ -90,79 +87,6 @@ def related_party_summary(flagged: DataFrame, near: DataFrame | None = None) ->
 
 # --- Near matches -----------------------------------------------------------
 
-def _tokens(name: Column) -> Column:
-    """Each character with its number among equal ones: names share as many tokens as letters."""
-    letters = F.transform(F.array(F.split(name, "")), lambda chars: F.transform(
-        chars, lambda c, i: F.concat(c, F.size(F.filter(
-            F.slice(chars, F.lit(1), i + 1), lambda other: other == c)).cast("string"))))
-    return F.get(letters, F.lit(0))
-
-
-def _rare_tokens(names: DataFrame, frequency: DataFrame, cutoff: float) -> DataFrame:
-    """One row per name and token that a similar name may not miss altogether.
-
-    Similar names of lengths a and b share at least cutoff * (a + b) / 2 letters, hence at
-    least the part cutoff / (2 - cutoff) of either. In one order of all tokens, the first
-    ones of two such names, one more than they may differ in, have a token in common. Rare
-    tokens come first in that order.
-    """
-    size = F.size("tokens")
-    first = size - F.ceil(size * (cutoff / (2 - cutoff)) - 1e-9).cast("int") + 1
-    in_order = Window.partitionBy("name").orderBy("times", "token")
-    return (
-        names.select("name", "tokens", first.alias("first"), F.explode("tokens").alias("token"))
-        .join(frequency, "token", "left")
-        .withColumn("times", F.coalesce("times", F.lit(0)))
-        .withColumn("place", F.row_number().over(in_order))
-        .filter(F.col("place") <= F.col("first"))
-        .select("token", "name", "tokens")
-    )
-
-
-def _scores(pairs: pd.DataFrame) -> pd.DataFrame:
-    """How alike staff and counterparty are, and the same with the two exchanged."""
-    both = list(zip(pairs["name"], pairs["normalized_name"]))
-    ratio = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
-    return pairs.assign(score=[ratio(staff, name) for name, staff in both],
-                        similarity=[ratio(name, staff) for name, staff in both])
-
-
-def closest_staff(names: DataFrame, roster: DataFrame, cutoff: float) -> DataFrame:
-    """For each distinct ``name`` the most similar staff name at or above the cutoff.
-
-    Only pairs that share one of their rare tokens, have enough letters in common and are
-    of similar length are scored, which leaves out no pair that reaches the cutoff.
-    """
-    if not 0 < cutoff <= 1:
-        raise ValueError("The cutoff lies between 0 and 1.")
-    ship_package(names.sparkSession)
-    staff = roster.select(F.col("normalized_name").alias("name")).filter(F.col("name") != "")
-    staff = kept(staff.withColumn("tokens", _tokens(F.col("name"))), "staff-tokens")
-    frequency = kept(
-        staff.select(F.explode("tokens").alias("token")).groupBy("token")
-        .agg(F.count("*").alias("times")), "token-frequency")
-    left = _rare_tokens(names.withColumn("tokens", _tokens(F.col("name"))), frequency, cutoff)
-    right = _rare_tokens(staff, frequency, cutoff).select(
-        "token", F.col("name").alias("normalized_name"), F.col("tokens").alias("staff_tokens"))
-    letters = F.size("tokens") + F.size("staff_tokens")
-    enough = lambda shared: 2 * shared >= cutoff * letters - 1e-9
-    pairs = (
-        left.join(right, "token")
-        .filter(enough(F.least(F.size("tokens"), F.size("staff_tokens"))))
-        .filter(enough(F.size(F.array_intersect("tokens", "staff_tokens"))))
-        .select("name", "normalized_name").distinct()
-    )
-    scored = pairs.mapInPandas(
-        lambda frames: map(_scores, frames),
-        "name string, normalized_name string, score double, similarity double")
-    return (
-        scored.filter(F.col("score") >= cutoff).groupBy("name")
-        .agg(F.max_by(F.struct("normalized_name", "similarity"),
-                      F.struct("score", "normalized_name")).alias("best"))
-        .select("name", "best.normalized_name", "best.similarity")
-    )
-
-
 def flag_fuzzy_related_party(
     ledger: DataFrame,
     exact_flagged: DataFrame | None = None,

@@ -129,8 +129,13 @@ class Audit:
 
     @cached_property
     def related_party_fuzzy(self) -> DataFrame:
-        return parties.flag_fuzzy_related_party(
-            self.ledger, self.related_party_flagged, self.cfg, self.roster)
+        """Kept, since findings for review and the summary's count both read it."""
+        return kept(parties.flag_fuzzy_related_party(
+            self.ledger, self.related_party_flagged, self.cfg, self.roster), "near-matches")
+
+    @cached_property
+    def related_party_summary(self) -> DataFrame:
+        return parties.related_party_summary(self.related_party_flagged, self.related_party_fuzzy)
 
     @property
     def flagged_sets(self) -> dict[str, DataFrame]:

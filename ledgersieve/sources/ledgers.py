@@ -133,9 +133,6 @@ def missing_to_null(column: Column) -> Column:
     return F.when(~F.trim(column).isin(fv.MISSING_TOKENS), column)
 
 
-# The parsers below name their column as rarely as they can: the filter that drops
-# unusable rows and the projection that keeps the values each evaluate them.
-
 def parse_date(column: Column, formats: Sequence[str] = ()) -> Column:
     """ISO dates first, then the caller's formats in order; null if none fits."""
     iso = F.regexp_extract(column, ISO_DATE, 1).try_cast("timestamp_ntz")
@@ -169,11 +166,15 @@ def detect_date_formats(raw: DataFrame) -> list[str]:
     return [best + TIME_PART]
 
 
-def parse_amount(column: Column) -> Column:
+def parse_number(column: Column) -> Column:
     """A plain number as it is; otherwise the digits, point and minus that remain."""
     plain = F.regexp_extract(column, PLAIN_NUMBER, 1).try_cast("double")
     cleaned = F.regexp_replace(column, NOT_PART_OF_A_NUMBER, "").try_cast("double")
-    return finite(F.coalesce(plain, cleaned))
+    return F.coalesce(plain, cleaned)
+
+
+def parse_amount(column: Column) -> Column:
+    return finite(parse_number(column))
 
 
 def finite(number: Column) -> Column:
@@ -182,19 +183,29 @@ def finite(number: Column) -> Column:
 
 
 def coerce_types(ledger: DataFrame, date_formats: Sequence[str] = ()) -> DataFrame:
-    """Dates and amounts as such, missing-value texts as null; no row is dropped."""
+    """Dates and amounts as such, missing-value texts as null; no row is dropped.
+
+    Texts of dates and amounts are parsed once a row. What is parsed stands in a list of one
+    entry that is unfolded: the optimizer would otherwise write the parser once into the
+    filter that drops unusable rows and once more into what they keep.
+    """
     types = dict(ledger.dtypes)
+    parsers = {"date": lambda c: parse_date(c, date_formats), "amount": parse_number}
+    texts = [name for name in parsers if types.get(name) == "string"]
+    if texts:
+        parsed = F.inline(F.array(F.struct(*(
+            parsers[name](F.col(name)).alias(name) for name in texts))))
+        ledger = ledger.select(
+            *(name for name in ledger.columns if name not in texts), parsed
+        ).select(*ledger.columns)
 
     def typed(name: str) -> Column:
         column = F.col(name)
         if name == "date":
-            if types[name] == "string":
-                return parse_date(column, date_formats)
-            return column if types[name].startswith("timestamp") else column.cast("timestamp_ntz")
+            parsed_or_time = name in texts or types[name].startswith("timestamp")
+            return column if parsed_or_time else column.cast("timestamp_ntz")
         if name == "amount":
-            if types[name] == "string":
-                return parse_amount(column)
-            return finite(column.cast("double"))
+            return finite(column if name in texts else column.cast("double"))
         return missing_to_null(column) if types[name] == "string" else column
 
     return ledger.select(*(typed(name).alias(name) for name in ledger.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import oracle_texts as fv
+from oracle_names import near
 
 # --- Ledgers, as in driver_views.py -------------------------------------------
 
@@ -39,6 +40,12 @@ EVR = """ev as (
          case when l_linenumber <> 6 then 'SUPPLIER  ' || (l_partkey % 97) end as counterparty
   from lineitem)"""
 
+PAGES = """pages_ledger as (
+  select cast(page_id as varchar) as transaction_id, cast(length(html) as double) as amount,
+    regexp_extract(url, '//[^/]+/([a-z]+)/', 1) as account, url as description,
+    regexp_replace(host, '^(www|m|blog)\\.', '') as "user", host as counterparty
+  from (select *, regexp_extract(url, '//([^/]+)/', 1) as host from pages))"""
+
 MESSY = """messy as (
   select 'T' || (o_orderkey // 2) as transaction_id,
     case when o_orderpriority = '3-MEDIUM' and o_orderstatus = 'F' then 'not-a-date'
@@ -509,6 +516,17 @@ select {EV_COLUMNS}, related_party_category, flag_reason from related"""
     q["related_party_summary"] = order_related + """
 select related_party_category, count(*) as transactions from related group by 1"""
 
+    page_near = f"with recursive {PAGES}, {related('pages_ledger')}, {near('pages_ledger', norm)}"
+    q["related_party_fuzzy"] = page_near + """
+select transaction_id, amount, account, description, "user", counterparty, closest_staff_match,
+  similarity_score, flag_reason from near"""
+    order_near = f"with recursive {GLE}, {related('gle')}, {near('gle', norm)}"
+    q["related_party_fuzzy_customers"] = order_near + f"""
+select {EV_COLUMNS}, closest_staff_match, similarity_score, flag_reason from near"""
+    q["related_party_summary_near"] = order_near + f"""
+select related_party_category, count(*) as transactions from related group by 1
+union all select '{fv.NEAR_MATCH}', count(*) from near"""
+
     # Score and consolidation
     q["materiality_factor"] = f"""with {GLE}, {SPREAD.format(src='gle')}
 select transaction_id, e.account, amount, case when median is null or median = 0 then 1.0

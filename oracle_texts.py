@@ -11,11 +11,15 @@ DISBURSEMENT_ACCOUNT = 'Loan Disbursement'
 DUPLICATE_GROUP_PREFIX = 'DUP-GRP-'
 DUPLICATE_ID_REASON = 'Duplicate transaction_id — data integrity issue'
 DUPLICATE_PAYMENT_REASON = 'Potential duplicate payment: same counterparty, account, and amount within %s day(s)'
+FUZZY_REASON_HEAD = "Possible related party: counterparty name closely resembles staff member '"
+FUZZY_REASON_MIDDLE = "' (similarity "
+FUZZY_REASON_TAIL = ') — review recommended, not a confirmed match'
 GHOST_LOAN = 'Unsupported schedule entry — no GL support (possible ghost loan)'
 MATERIAL_VARIANCE = 'Material variance — investigate'
 MISSING_KEY_TEXT = 'nan'
 NONCONFORMITY = 'Nonconformity — investigate further'
 OUTLIER_METHOD_NAMES = {'iqr': 'IQR method', 'modified_zscore': 'modified z-score', 'zscore': 'classic z-score'}
+NEAR_MATCH = 'Near match'
 OUTLIER_REASON_HEAD = "Statistical outlier (%s) within '"
 OUTLIER_REASON_MIDDLE = "' — "
 OUTLIER_REASON_TAIL = ' extreme relative to peer transactions'

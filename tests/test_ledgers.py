@@ -166,3 +166,13 @@ def test_findings_are_written_in_report_order(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out.parquet")).count() == 3
     with pytest.raises(ValueError):
         sinks.write_findings(rows, path, fmt="xlsx")
+
+
+def test_texts_are_parsed_once_in_the_plan(frame):
+    raw = frame("id string, date string, amount string, account string, description string",
+                ("1", "2025-01-01", "TZS 5", "a", "d"), ("2", "03/02/2025", "x", "a", "d"),
+                ("3", "no", "1e400", "a", "d"), ("4", "03/02/2025", "7", "a", None))
+    ledger = ledgers.standardise(raw, ["dd/MM/yyyy"])
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    assert [plan.count(part) for part in ("regexp_extract", "regexp_replace", "gettimestamp")] == [2, 1, 1]
+    assert [(r["transaction_id"], r["amount"]) for r in ledger.collect()] == [("1", 5.0), ("4", 7.0)]
