@@ -48,8 +48,11 @@ THRESHOLD = 0.7
 #: Characters of a value's ends that can be part of a mark that goes on in the next part.
 _EDGE = max(map(len, HARMLESS)) - 1
 
+# A backslash outside strings takes the character after it along: no string begins at an escaped
+# quote, so at most the last quotes of a line are read in vain, and a line is read in linear time.
 _LEXER = re.compile(r"""
-    (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
+    (?P<string>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')
+  | (?P<escape>\\.)
   | (?P<name>[A-Za-z_][A-Za-z0-9_.-]*)
   | (?P<op>:=|=>|==|!=|<=|>=|=|:)
   | (?P<plus>\+)
@@ -126,7 +129,8 @@ def literals(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that flow into sensitive names."""
     held: dict[str, Value] = {}
     found: list[tuple[int, int]] = []
-    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXER.finditer(text)]
+    tokens = [(m.lastgroup, m.group(), m.start(), m.end()) for m in _LEXER.finditer(text)
+              if m.lastgroup != "escape"]
     at = 0
     while at + 1 < len(tokens):
         kind, name, _, name_end = tokens[at]
