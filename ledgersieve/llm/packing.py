@@ -10,7 +10,8 @@ done again from its input.
 One output row is one packed row: the ids as little-endian numbers of a fixed width (padded
 with the end token), the cumulative segment lengths, the positions that start again at 0 in
 every segment (padding has position 0), and which document and which of its pieces each
-segment is. Joining a document's pieces by number gives its ids back.
+segment is: its id, a number that no other input row has, and the piece's number. Joining the
+pieces of a row by number gives its ids back, also where ids repeat or are null.
 
 Defined results: a null or empty text is one segment that holds the end token only; repeated
 rows are packed as often as they occur; a null doc_id is kept as null; other columns are
@@ -20,6 +21,7 @@ ignored; an empty table gives no rows; texts of any length are cut, none is drop
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +39,9 @@ from ledgersieve.shipping import ship_package
 #: Fixed value: how byte-level BPE cuts a text before merging.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PACKED = """row_id string, ids binary, positions binary, cu_seqlens array<int>,
-            doc_ids array<{}>, pieces array<int>, n_tokens int"""
+            doc_ids array<{}>, doc_rows array<long>, pieces array<int>, n_tokens int"""
+#: Runs of white space from this length on are encoded by themselves.
+LONG_RUN = 2_000
 
 
 @dataclass(frozen=True)
@@ -105,20 +109,36 @@ def encoder(ranks: bytes):
     return coder, max(table.values()) + 1
 
 
+def encoded(coder, text: str) -> list[int]:
+    """Token ids of a text, as ``encode_ordinary`` gives them where it can.
+
+    Its pattern needs stack for every blank of a run. A long run is one piece, without its last
+    character if more follows (which may begin the next piece), so texts are cut around it.
+    """
+    ids: list[int] = []
+    at = 0
+    for run in re.finditer(rf"\s{{{LONG_RUN},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += coder.encode_ordinary(text[at:run.start()])
+        ids += coder._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + coder.encode_ordinary(text[at:])
+
+
 def _pack(held: list[tuple], cfg: PackingConfig, end: int, where: str) -> list[tuple]:
     out = []
-    for number, places in enumerate(best_fit([len(ids) for _, _, ids in held], cfg.length)):
+    for number, places in enumerate(best_fit([len(piece[-1]) for piece in held], cfg.length)):
         ids = np.full(cfg.length, end, cfg.id_type)
         positions = np.zeros(cfg.length, "<u4")
         at, edges = 0, [0]
         for place in places:
-            piece = held[place][2]
+            piece = held[place][-1]
             ids[at:at + len(piece)] = piece
             positions[at:at + len(piece)] = np.arange(len(piece))
             at += len(piece)
             edges.append(at)
         out.append((f"{where}-{number}", ids.tobytes(), positions.tobytes(), edges,
-                    [held[p][0] for p in places], [held[p][1] for p in places], at))
+                    *([held[p][field] for p in places] for field in range(3)), at))
     return out
 
 
@@ -144,18 +164,19 @@ def pack(docs: DataFrame, path: str, cfg: PackingConfig = PackingConfig()) -> Da
         coder, end = encoder(file.value)
         if end > np.iinfo(cfg.id_type).max:
             raise ValueError(f"Ids up to {end} don't fit {cfg.id_type}.")
-        held, tokens = [], 0
+        held, tokens, row = [], 0, task << 33
         for rows in batches:
             names, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
             for a, b in slices(texts):
                 for name, text in zip(names[a:b], texts[a:b], strict=True):
-                    ids = np.array([*coder.encode_ordinary(text or ""), end], cfg.id_type)
+                    ids = np.array([*encoded(coder, text or ""), end], cfg.id_type)
                     for number, start in enumerate(range(0, len(ids), cfg.length)):
-                        held.append((name, number, ids[start:start + cfg.length]))
-                        tokens += len(held[-1][2])
+                        held.append((name, row, number, ids[start:start + cfg.length]))
+                        tokens += len(held[-1][-1])
                         if tokens >= cfg.buffer_tokens:
                             yield batch(_pack(held, cfg, end, f"{task}-{buffers}"))
                             held, tokens, buffers = [], 0, buffers + 1
+                    row += 1
         if held:
             yield batch(_pack(held, cfg, end, f"{task}-{buffers}"))
 
@@ -171,7 +192,7 @@ def digests(packed: DataFrame) -> DataFrame:
     """Packed rows with digests in place of the matrices."""
     return packed.select("row_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                          F.sha2("positions", 256).alias("positions_sha256"),
-                         "cu_seqlens", "doc_ids", "pieces")
+                         "cu_seqlens", "doc_ids", "doc_rows", "pieces")
 
 
 def unpack(ids: bytes, cu_seqlens: list[int], id_type: str = "<u2") -> list[np.ndarray]:
