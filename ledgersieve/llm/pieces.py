@@ -149,10 +149,10 @@ class PieceCoder:
             else:
                 j += 1
 
-    def _forward(self, word: str, states: list[tuple[str, bytes, float]]) -> None:
+    def _forward(self, word: str, states: list[tuple[str, int, float]]) -> None:
         """Append the state of every prefix longer than those that ``states`` has.
 
-        A state is the last piece, the ids of all pieces so far, and their cost.
+        A state is the last piece, where it starts, and the cost of all pieces so far.
         """
         best = self._cheapest if self.kind == UNIGRAM else self._unmerged
         for end in range(len(states), len(word) + 1):
@@ -166,10 +166,19 @@ class PieceCoder:
                 if "" in node:
                     ending.append((node[""], start))
             piece, start, total = best(word[end - 1], end, ending, states)
+            states.append((piece, start, total))
+
+    def _traced(self, states: list[tuple[str, int, float]]) -> bytes:
+        """The ids of a word from the states of all its prefixes, read from its end."""
+        out, end = [], len(states) - 1
+        while end:
+            piece, end, _ = states[end]
             coded = self.coded.get(piece)
             if coded is None:
                 coded = self.coded[piece] = self._ids([piece])
-            states.append((piece, states[start][1] + coded, total))
+            out.append(coded)
+        out.reverse()
+        return b"".join(out)
 
     def _cheapest(self, letter, end, ending, states) -> tuple[str, int, float]:
         """Of the pieces that end here, the one with the highest sum of scores."""
@@ -205,7 +214,7 @@ class PieceCoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words, depth-first through the trie that their order spells."""
-        states: list[tuple[str, bytes, float]] = [("", b"", 0.0)]
+        states: list[tuple[str, int, float]] = [("", 0, 0.0)]
         last = ""
         for word in sorted(words):
             if self.kind == BPE and word.startswith(MARK * 2):
@@ -218,7 +227,7 @@ class PieceCoder:
                 shared += 1
             del states[shared + 1:]
             self._forward(word, states)
-            self.known[word] = states[-1][1]
+            self.known[word] = self._traced(states)
             last = word
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
