@@ -59,27 +59,44 @@ def _keyed(
     })
 
 
+#: Slots of one key that a window looks at together, besides one neighbour on either side.
+STRETCH_SLOTS = 1024
+
+
+def _stretched(slots: DataFrame, reach: int) -> DataFrame:
+    """Slots with the stretch of their key that they lie in; those at a border are guests
+    of the stretch beside it too."""
+    number = F.expr(f"(slot - pmod(slot, {reach}L)) div {reach}L")
+    at, own = F.pmod(number, F.lit(STRETCH_SLOTS)), F.floor(number / STRETCH_SLOTS)
+    seen_by = F.array_compact(F.array(
+        own, F.when(at == 0, own - 1), F.when(at == STRETCH_SLOTS - 1, own + 1)))
+    return slots.select("*", own.alias("own"), F.explode(seen_by).alias("stretch"))
+
+
 def _close_slots(keyed: DataFrame, cfg: ScreenConfig) -> DataFrame:
     """Key and slot of all rows that have a neighbour within the window.
 
     Rows are counted per key and slot with partial sums first. The window below then
-    sees one row per slot, so the most it can meet for one key is the number of slots
-    in the time the ledger spans, however many rows share the key.
+    sees one row per slot and STRETCH_SLOTS slots at a time, however many rows or
+    slots a key has. Without a window in time, equal times are all there is to count.
     """
     reach = _window_micros(cfg)
     slots = keyed.groupBy(*KEY, "slot").agg(
         F.count("*").alias("slot_rows"), F.min("clock").alias("first"), F.max("clock").alias("last"))
-    in_key = Window.partitionBy(*KEY).orderBy("slot")
-    after_previous = F.col("first") - F.lag("last").over(in_key)
-    before_next = F.lead("first").over(in_key) - F.col("last")
+    if reach < 1:
+        return slots.filter(F.col("slot_rows") > 1).select(*KEY, "slot")
+    in_stretch = Window.partitionBy(*KEY, "stretch").orderBy("slot")
+    after_previous = F.col("first") - F.lag("last").over(in_stretch)
+    before_next = F.lead("first").over(in_stretch) - F.col("last")
     return (
-        slots.withColumn("after_previous", after_previous)
+        _stretched(slots, reach).withColumn("after_previous", after_previous)
         .withColumn("before_next", before_next)
         .filter(
             (F.col("slot_rows") > 1)
             | (F.col("after_previous") <= reach)
             | (F.col("before_next") <= reach)
         )
+        .filter(F.col("own") == F.col("stretch"))
         .select(*KEY, "slot")
     )
 

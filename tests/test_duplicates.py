@@ -128,3 +128,34 @@ def test_clock_micros(spark):
                     "timestamp_ntz'1969-12-31 23:59:59.5' b")
     got = row.select(s.clock_micros(F.col("a")), s.clock_micros(F.col("b"))).first()
     assert tuple(got) == (1736169255000016, -500000)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 1024])
+def test_stretches_of_a_long_key_give_what_one_look_at_all_gives(spark, monkeypatch, stretch):
+    """Seconds around and before 1970, under one key and a window of two seconds."""
+    monkeypatch.setattr(duplicates, "STRETCH_SLOTS", stretch)
+    rng = random.Random(stretch)
+    seconds = sorted({rng.randint(-900, 900) for _ in range(300)})
+    rows = spark.createDataFrame([(str(x), x * 1.0) for x in seconds], "transaction_id string, x double")
+    ledger = rows.selectExpr(
+        "transaction_id", "cast(timestamp_seconds(x) as timestamp_ntz) as date", "5.0D as amount",
+        "'a' as account", "'c' as counterparty")
+    cfg = ScreenConfig(duplicate_window_days=2 / 86_400)
+    expected = [str(x) for x in seconds if any(0 < abs(x - y) <= 2 for y in seconds)]
+    assert ids(duplicates.duplicate_payment_rows(ledger, cfg)) == sorted(expected)
+
+
+def test_no_task_sees_all_slots_of_a_key(spark):
+    """A million rows under one key: half of all rows share a time with another."""
+    ledger = spark.range(1_000_000).selectExpr(
+        "cast(id as string) as transaction_id", "'a' as account", "'c' as counterparty", "5.0D as amount",
+        "cast(timestamp_micros(id - id % 4 + greatest(id % 4, 1)) as timestamp_ntz) as date")
+    keyed = lambda cfg: duplicates._keyed(
+        ledger, cfg, "amount", "date", "counterparty", "account")
+    same_time = duplicates._close_slots(keyed(ScreenConfig(duplicate_window_days=0)),
+                                        ScreenConfig(duplicate_window_days=0))
+    assert "Window" not in same_time._jdf.queryExecution().executedPlan().toString()
+    assert same_time.count() == 250_000
+    slots = keyed(ScreenConfig(duplicate_window_days=1 / 86_400_000_000)).select(*duplicates.KEY, "slot").distinct()
+    largest = duplicates._stretched(slots, 1).groupBy(*duplicates.KEY, "stretch").count().agg({"count": "max"})
+    assert largest.first()[0] <= duplicates.STRETCH_SLOTS + 2
