@@ -13,7 +13,7 @@ from ledgersieve.config import ScreenConfig
 from ledgersieve.operators import benford, duplicates, outliers, parties, reconcile, rounds, timing
 from ledgersieve.plans import consolidation, reports, scoring
 from ledgersieve.sources import sinks
-from ledgersieve.sources.kept import kept
+from ledgersieve.sources.kept import kept, scope
 
 
 @dataclass(frozen=True)
@@ -208,3 +208,16 @@ def run_audit(
     texts are parsed once, and each screen reads the columns it needs.
     """
     return Audit(kept(ledger, "ledger"), gl, schedule, cfg)
+
+
+def publish_audit(
+    folder: str,
+    ledger: DataFrame,
+    gl: DataFrame | None = None,
+    schedule: DataFrame | None = None,
+    cfg: ScreenConfig = ScreenConfig(),
+    fmt: str = "csv",
+) -> dict[str, str]:
+    """Run an audit, write its findings, and delete every table that was kept on the way."""
+    with scope(ledger.sparkSession):
+        return run_audit(ledger, gl, schedule, cfg).publish(folder, fmt)

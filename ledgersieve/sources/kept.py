@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +30,40 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Folders of the scopes that are open, the innermost last.
+_open: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_kept(spark: SparkSession) -> None:
     """Delete all tables that this application has kept; results built on them are gone then."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/kept")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_folder(spark)}/kept")
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[str]:
+    """Tables kept within are deleted at its end, also after an error; others stay.
+
+    Results have to be written within. Threads started within keep their tables here too, so
+    scopes of one driver follow or contain each other; they don't run side by side.
+    """
+    folder = f"{shared_folder(spark)}/kept/scope-{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield folder
+    finally:
+        _open.remove(folder)
+        _delete(spark, folder)
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a DataFrame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/kept/{name}-{uuid.uuid4().hex}"
+    folder = _open[-1] if _open else f"{shared_folder(spark)}/kept"
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -49,19 +49,35 @@ class DataValidationError(Exception):
 
 # --- Scans ----------------------------------------------------------------
 
-def _read_text(spark: SparkSession, path: str, line_breaks: bool) -> DataFrame:
+def lines_are_rows(spark: SparkSession, path: str) -> bool:
+    """Whether delimited text can be cut at any line end: no quoted text goes on in the next line.
+
+    A row that does so has a line with an odd number of quotes. One scan that many tasks share
+    counts such lines, and carriage returns that don't end a line or end some lines only.
+    """
+    line = F.col("value")
+    returned, total = F.count_if(F.endswith(line, F.lit("\r"))), F.count("*")
+    odd = F.count_if((F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))) % 2 == 1)
+    inner = F.count_if(line.rlike("\r."))
+    safe = (odd == 0) & (inner == 0) & ((returned == 0) | (returned == total))
+    return spark.read.option("lineSep", "\n").text(path).agg(safe.alias("safe")).first()["safe"]
+
+
+def _read_text(spark: SparkSession, path: str, line_breaks: bool | None) -> DataFrame:
     """Delimited text with a header; a quote inside quotes is written twice."""
+    if line_breaks is None:
+        line_breaks = not lines_are_rows(spark, path)
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
             .option("multiLine", line_breaks).csv(path))
 
 
 def read_raw(
-    spark: SparkSession, path: str, fmt: str | None = None, line_breaks: bool = True
+    spark: SparkSession, path: str, fmt: str | None = None, line_breaks: bool | None = None
 ) -> DataFrame:
     """A ledger as it lies on disk: delimited text (all columns text) or Parquet.
 
-    Quoted texts may hold line breaks, which keeps a file from being split. For files known
-    to have none, ``line_breaks=False`` lets tasks share one file.
+    Quoted texts may hold line breaks, which keeps a file from being split. Unless the caller
+    says so, one scan finds out whether any does; without any, tasks share each file.
     """
     kind = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "csv":
@@ -71,7 +87,9 @@ def read_raw(
     raise ValueError(f"Unsupported file type: {kind}. Use csv or parquet.")
 
 
-def read_schedule(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+def read_schedule(
+    spark: SparkSession, path: str, line_breaks: bool | None = None
+) -> DataFrame:
     """The loan schedule; columns are matched by name, extra columns are dropped."""
     raw = _read_text(spark, path, line_breaks)
     columns = {

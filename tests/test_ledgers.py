@@ -176,3 +176,41 @@ def test_texts_are_parsed_once_in_the_plan(frame):
     plan = ledger._jdf.queryExecution().executedPlan().toString()
     assert [plan.count(part) for part in ("regexp_extract", "regexp_replace", "gettimestamp")] == [2, 1, 1]
     assert [(r["transaction_id"], r["amount"]) for r in ledger.collect()] == [("1", 5.0), ("4", 7.0)]
+
+
+HEADER = "transaction_id,date,amount,account,description\n"
+FILES = {
+    "plain": ("1,2025-01-01,5,a,d\n2,2025-01-02,6,a,d\n", True),
+    "quoted": ('1,2025-01-01,5,a,"x, ""y"""\n\n2,2025-01-02,6,a,"z"\n', True),
+    "carriage returns": ("1,2025-01-01,5,a,d\r\n", True),
+    "two feet": ('1,2025-01-01,5,a,5" and 6" pipe\n', True),
+    "across lines": ('1,2025-01-01,5,a,"x\ny"\n2,2025-01-02,6,a,"z"\n', False),
+    "closed and opened in a line": ('1,2025-01-01,5,"a\n","x\ny"\n', False),
+    "one foot": ('1,2025-01-01,5,a,5" pipe\n2,2025-01-02,6,a,d\n', False),
+    "lone carriage return": ("1,2025-01-01,5,a,x\ry\n", False),
+}
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_files_are_split_where_no_quoted_text_goes_on(spark, tmp_path, name):
+    body, safe = FILES[name]
+    path = tmp_path / "ledger.csv"
+    header = HEADER.replace("\n", "\r\n") if name == "carriage returns" else HEADER
+    path.write_bytes((header + body).encode())
+    assert ledgers.lines_are_rows(spark, str(path)) is safe
+    found, whole = (sorted(map(tuple, ledgers.read_raw(spark, str(path), line_breaks=b).collect()), key=str)
+                    for b in (None, True))
+    assert found == whole
+
+
+def test_a_large_quoted_file_is_read_by_many_tasks(spark, tmp_path):
+    path = tmp_path / "ledger.csv"
+    path.write_text(HEADER + "".join(f'{i},2025-01-01,5,a,"x, {i}"\n' for i in range(40_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        raw = ledgers.read_raw(spark, str(path))
+        assert raw.rdd.getNumPartitions() > 8
+        assert raw.count() == 40_000 and raw.distinct().count() == 40_000
+        assert ledgers.read_raw(spark, str(path), line_breaks=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
