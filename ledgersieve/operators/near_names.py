@@ -23,10 +23,9 @@ import difflib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgersieve.operators.numbering import consecutive_numbers
 from ledgersieve.shipping import ship_package
 from ledgersieve.sources.kept import kept
 
@@ -60,13 +59,15 @@ def in_token_order(names: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def token_ranks(names: DataFrame) -> DataFrame:
-    """(token, rank): all tokens of the names, the rarest first. As many rows as an alphabet."""
-    counted = kept(
-        names.select(F.explode(letter_tokens(F.col("name"))).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("times")), "token-frequency")
-    place = F.struct("times", "token")
-    return kept(consecutive_numbers(counted.select(place.alias("place")), "place", "rank").select(
-        "place.token", F.col("rank").cast("int").alias("rank")), "token-ranks")
+    """(token, rank): all tokens of the names, the rarest first.
+
+    Ranked in one task, since there are only as many as letters, times the most that one name
+    has of a letter.
+    """
+    counted = names.select(F.explode(letter_tokens(F.col("name"))).alias("token")).groupBy(
+        "token").agg(F.count("*").alias("times"))
+    return kept(counted.select(
+        "token", F.row_number().over(Window.orderBy("times", "token")).alias("rank")), "token-ranks")
 
 
 def candidate_pairs(names: DataFrame, staff: DataFrame, cutoff: float) -> DataFrame:

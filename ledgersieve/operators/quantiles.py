@@ -6,8 +6,10 @@ logarithmic bins first, PER_E_FOLD of them for each factor e, which partial sums
 counters per group and task. The bins a wanted rank falls into are found from the counters,
 and only the distinct values in those bins are shuffled and ordered. What a task sees of one
 group at the end is limited by the width of a bin, 1/4096 of the value, however many rows the
-group has; a bin can hold many rows only if they are that close, and equal ones are counted
-before the shuffle.
+group has. A bin can hold many rows only if they are that close; equal ones are counted before
+the shuffle, and a bin of more than MANY rows is cut twice more into PARTS equal parts between its
+least and greatest value. A bin spans at most 2^41 doubles, so what is left spans some hundred,
+whatever the distribution.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from ledgersieve.sources.kept import kept
 
 PER_E_FOLD = 4096
+#: Rows of a bin from which on it is cut into parts, and their number.
+MANY = 100_000
+PARTS = 65_536
 RUNNING = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -35,6 +40,27 @@ def _bin() -> Column:
                   ELSE 0 END AS BIGINT)""")
 
 
+def _cut(inside: DataFrame, keys: Sequence[str], wanted: str, size: str) -> DataFrame:
+    """Distinct values of bins, reduced to those parts of the bins that hold a wanted rank.
+
+    A part counts as a bin of its own afterwards.
+    """
+    place = f"CASE WHEN hi > lo THEN floor((value - lo) / (hi - lo) * {PARTS}) ELSE 0 END"
+    named = inside.withColumn("part", F.expr(f"bin * {PARTS + 1} + {place}"))
+    in_bin = Window.partitionBy(*keys, "bin").orderBy("part").rowsBetween(*RUNNING)
+    parts = (
+        named.groupBy(*keys, "bin", "part").agg(
+            F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"),
+            F.max("bin_below").alias("bin_below"), F.max(size).alias(size))
+        .withColumn("up_to", F.col("bin_below") + F.sum("n").over(in_bin))
+        .withColumn("below", F.col("up_to") - F.col("n"))
+        .filter(wanted)
+        .select(*keys, "part", "lo", "hi", F.col("below").alias("bin_below"))
+    )
+    return named.select(*keys, "part", "value", "n", size).join(parts, [*keys, "part"]).select(
+        *keys, F.col("part").alias("bin"), "value", "n", "bin_below", size, "lo", "hi")
+
+
 def grouped_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
@@ -60,23 +86,36 @@ def grouped_quantiles(
     wanted = " OR ".join(
         covers(share, side) for share in set(shares.values()) for side in ("floor", "ceil"))
 
-    counted = values.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    counted = values.groupBy(*keys, "bin").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
     within = Window.partitionBy(*keys).orderBy("bin").rowsBetween(*RUNNING)
     bins = kept(
         counted.withColumn("up_to", F.sum("n").over(within))
         .withColumn(size, F.sum("n").over(Window.partitionBy(*keys)))
         .withColumn("below", F.col("up_to") - F.col("n"))
         .filter(wanted)
-        .select(*keys, "bin", F.col("below").alias("bin_below"), size),
+        .select(*keys, "bin", F.col("below").alias("bin_below"), size, "lo", "hi",
+                (F.col("n") > MANY).alias("many")),
         "bins",
     )
-    inside = values.join(bins, [*keys, "bin"])
+    def values_in(bins: DataFrame) -> DataFrame:
+        return values.join(bins, [*keys, "bin"]).groupBy(*keys, "bin", "value").agg(
+            F.count("*").alias("n"),
+            *(F.max(name).alias(name) for name in ("bin_below", size, "lo", "hi")))
+
+    # Cutting bins changes no result; plans without it are half as long, so it is left out
+    # where no bin needs it.
+    if bins.filter("many").isEmpty():
+        inside = values_in(bins)
+    else:
+        many = values_in(bins.filter("many"))
+        for _ in range(2):
+            many = _cut(many, keys, wanted, size)
+        inside = values_in(bins.filter("NOT many")).unionByName(many)
 
     in_bin = Window.partitionBy(*keys, "bin").orderBy("value").rowsBetween(*RUNNING)
     ranked = (
-        inside.groupBy(*keys, "bin", "value")
-        .agg(F.count("*").alias("n"), F.max("bin_below").alias("bin_below"),
-             F.max(size).alias(size))
+        inside
         .withColumn("up_to", F.col("bin_below") + F.sum("n").over(in_bin))
         .withColumn("below", F.col("up_to") - F.col("n"))
     )
