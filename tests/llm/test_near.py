@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from ledgersieve.llm import components, decontaminate, passages, simhash
+from ledgersieve.llm.common import pick
 
 from .conftest import ODD_TEXTS, prose
 
@@ -340,3 +341,39 @@ def test_passages_of_odd_rows(docs_of, no_docs):
         == Counter([(2, 1), (None, 1)])
     assert {r.doc_id for r in rows} | {r.source_doc_id for r in rows} == {None, 1, 2, 3}
     assert passages.repeats(no_docs).collect() == []
+
+
+def test_chains_of_stretches_and_of_places_are_worth_the_same():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        ours = rng.integers(1, rng.integers(5, 90), 120).astype(np.uint64)
+        theirs = np.where(rng.random(120) < 0.8, ours, rng.integers(1, 90, 120)).astype(np.uint64)
+        here, there = np.nonzero(ours[:, None] == theirs[None, :])
+        for price in (10, 1):
+            worth = []
+            for chain in (passages._chains(*passages._stretches(here, there), price),
+                          passages._chains_by_place(here, there, price)):
+                a, b = next(chain)
+                worth.append(20 * len(a) - price * (a[-1] - a[0] + b[-1] - b[0] + 2 - 2 * len(a)))
+            assert worth[0] == worth[1]
+
+
+def test_ties_of_a_line_said_over_and_over_grow_with_the_texts(docs_of):
+    line = " ".join(f"w{i}" for i in range(60))
+    counts = []
+    for times in (20, 200):
+        rows = [(n, " ".join([*[line] * times, f"end{n}"])) for n in (1, 2)]
+        keyed = pick(docs_of(rows), "doc_id", "text").withColumnRenamed("doc_id", "__key")
+        shared = passages._shared(passages.windows(keyed, passages.opened(keyed)), "shared")
+        counts.append(passages._star(shared).count())
+    assert counts[1] < 12 * counts[0]
+
+
+def test_ranges_without_enough_hits_hold_no_passage():
+    rng = np.random.default_rng(6)
+    for share in (0.7, 0.8, 0.85):
+        for _ in range(40):
+            hit = rng.random(130) < share
+            plain = any(5 * hit[a:b].sum() >= 4 * (b - a)
+                        for a in range(131) for b in range(a + passages.LEAST, 131))
+            assert passages._dense(hit) == plain
