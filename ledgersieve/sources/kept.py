@@ -30,6 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Shuffle files are deleted when the query that wrote them ends, not at the driver's next full
+#: collection of garbage: what is kept has been written, so nothing reads them again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders of the scopes that are open, the innermost last.
 _open: list[str] = []
 
@@ -61,9 +65,17 @@ def scope(spark: SparkSession) -> Iterator[str]:
 
 
 def kept(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return a DataFrame that reads it."""
+    """Write ``df`` to the shared folder and return a DataFrame that reads it.
+
+    The shuffle files of the write are deleted at its end; the session's setting is put back.
+    """
     spark = df.sparkSession
     folder = _open[-1] if _open else f"{shared_folder(spark)}/kept"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,3 +1,4 @@
+import glob
 import os
 
 import pytest
@@ -32,3 +33,19 @@ def test_scopes_end_with_errors_and_leave_other_tables(spark):
         assert still.count() == 4
         raise ValueError
     assert held(spark) == before and outer.count() == 3
+
+
+def test_a_kept_table_leaves_no_shuffle_files(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def shuffled():
+        return {f for folder in folders for f in glob.glob(f"{folder}/*/shuffle_*")}
+
+    counts = spark.range(100_000).selectExpr("id % 1000 as k").groupBy("k").count()
+    before = shuffled()
+    assert counts.collect() and shuffled() - before
+    before = shuffled()
+    table = kept(counts, "counts")
+    assert not shuffled() - before
+    assert spark.conf.get(setting, "false") == "false" and table.count() == 1000
