@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,6 +148,33 @@ def duplicate_payment_rows(
     return keyed.join(slots, [*KEY, "slot"], "left_semi").select(*ledger.columns)
 
 
+def with_duplicate_mark(
+    ledger: DataFrame,
+    cfg: ScreenConfig = ScreenConfig(),
+    amount: str = "amount",
+    date: str = "date",
+    counterparty: str = "counterparty",
+    account: str = "account",
+    slots: DataFrame | None = None,
+) -> DataFrame:
+    """Every row with ``duplicate_hit``: whether it is one of ``duplicate_payment_rows``.
+
+    A key and slot is listed once, so the join neither adds nor drops rows.
+    """
+    if slots is None:
+        slots = close_slots(ledger, cfg, amount, date, counterparty, account)
+    if slots is None:
+        return ledger.withColumn("duplicate_hit", F.lit(False))
+    # Rows without a counterparty are kept even where they form no key
+    keyed = _keyed(ledger, replace(cfg, null_counterparty="group"), amount, date, counterparty, account)
+    marks = slots.withColumn("mark", F.lit(True))
+    if cfg.null_counterparty == "ignore":
+        keyed = keyed.withColumn(
+            "key_party", F.when(F.col(counterparty).isNotNull(), F.col("key_party")))
+    return keyed.join(marks, [*KEY, "slot"], "left").select(
+        *ledger.columns, F.col("mark").isNotNull().alias("duplicate_hit"))
+
+
 def duplicate_reason(cfg: ScreenConfig) -> Column:
     return F.lit(fv.DUPLICATE_PAYMENT_REASON % f"{cfg.duplicate_window_days:g}")
 

@@ -11,12 +11,15 @@ from ledgersieve.functions import scalars as s
 from ledgersieve.sources.kept import kept
 
 
-def timing_reason(cfg: ScreenConfig) -> Column:
+def timing_reason(
+    cfg: ScreenConfig, weekend: Column | None = None, late: Column | None = None
+) -> Column:
+    """Text on a row with the marks ``is_weekend`` and ``is_after_hours``, or of marks given."""
     hours = fv.AFTER_HOURS_REASON % (cfg.business_start_hour, cfg.business_end_hour)
     parts = F.concat_ws(
         " and ",
-        F.when(F.col("is_weekend"), fv.WEEKEND_REASON),
-        F.when(F.col("is_after_hours"), hours),
+        F.when(F.col("is_weekend") if weekend is None else weekend, fv.WEEKEND_REASON),
+        F.when(F.col("is_after_hours") if late is None else late, hours),
     )
     return F.concat(F.lit(fv.TIMING_REASON_HEAD), parts)
 

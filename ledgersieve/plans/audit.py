@@ -81,14 +81,19 @@ class Audit:
 
     @cached_property
     def annotated(self) -> DataFrame:
+        return self._annotate(self.ledger)
+
+    def _annotate(self, ledger: DataFrame) -> DataFrame:
         self.write_shared_tables()
         return scoring.annotate(
-            self.ledger, self.overrepresented_digits, self.spread, self.concentrated_users,
+            ledger, self.overrepresented_digits, self.spread, self.concentrated_users,
             self.roster, self.cfg)
 
     @cached_property
     def findings(self) -> DataFrame:
-        return kept(scoring.findings(self.annotated, self.duplicate_rows), "findings")
+        """The ledger is read once for the screens of rows and for duplicates."""
+        marked = duplicates.with_duplicate_mark(self.ledger, self.cfg, slots=self.close_slots)
+        return kept(scoring.marked_findings(self._annotate(marked)), "findings")
 
     # Screens
     @cached_property
@@ -162,7 +167,7 @@ class Audit:
     @cached_property
     def consolidated(self) -> DataFrame:
         reasons = consolidation.flag_reasons(self.findings, self.cfg)
-        return consolidation.consolidate(self.ledger, reasons)
+        return consolidation.consolidate(self.ledger, reasons, self.cfg)
 
     # Reconciliation, if both tables are there
     @cached_property
