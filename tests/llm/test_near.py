@@ -377,3 +377,36 @@ def test_ranges_without_enough_hits_hold_no_passage():
             plain = any(5 * hit[a:b].sum() >= 4 * (b - a)
                         for a in range(131) for b in range(a + passages.LEAST, 131))
             assert passages._dense(hit) == plain
+
+
+def test_chains_of_any_number_of_pairs_are_those_of_places(monkeypatch):
+    rng = np.random.default_rng(7)
+    for case in range(60):
+        monkeypatch.setattr(passages, "PAIRS", (10, 200, 10_000)[case % 3])
+        ours = rng.integers(1, rng.integers(3, 60), 150).astype(np.uint64)
+        theirs = np.where(rng.random(150) < 0.8, ours, rng.integers(1, 60, 150)).astype(np.uint64)
+        theirs = theirs[:rng.integers(90, 151)]
+        pairs = passages._Listed(ours, theirs)
+        here, there = np.nonzero(ours[:, None] == theirs[None, :])
+        assert all(np.array_equal(*x) for x in zip(pairs.all(), (here, there), strict=True))
+        for price in (10, 1):
+            told = [sorted((a.tolist(), b.tolist()) for a, b in chains) for chains in (
+                passages._chains_listed(pairs, price), passages._chains_by_place(here, there, price))]
+            assert told[0] == told[1]
+
+
+def test_passages_among_words_said_very_often_are_found():
+    # over 5,000,000 pairs of equal shingles: the range was given up before
+    rng = np.random.default_rng(8)
+    line = rng.integers(1, 1 << 40, 4).astype(np.uint64)
+    same = rng.integers(1, 1 << 40, 80).astype(np.uint64)
+    near = same.copy()
+    near[40:44] += np.uint64(1)
+    often = lambda n: np.tile(line, n)
+    noise = lambda: rng.integers(1 << 41, 1 << 42, 30).astype(np.uint64)
+    ours = np.concatenate([often(1250), noise(), same, noise(), often(10)])
+    theirs = np.concatenate([often(10), noise(), near, noise(), often(1250)])
+    assert passages._Listed(ours, theirs).total > passages.PAIRS
+    found = passages._aligned(ours, theirs)
+    assert any(a <= 5030 and a + n >= 5110 and b <= 70 and b + m >= 150 for a, n, b, m in found)
+    assert any(n >= 4_990 and m >= 4_990 for _, n, _, m in found)
