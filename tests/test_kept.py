@@ -1,10 +1,11 @@
 import glob
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
 from ledgersieve.plans.audit import publish_audit, run_audit
-from ledgersieve.sources.kept import kept, scope, shared_folder
+from ledgersieve.sources.kept import _cleaned_up, kept, scope, shared_folder
 
 
 def held(spark):
@@ -49,3 +50,19 @@ def test_a_kept_table_leaves_no_shuffle_files(spark):
     table = kept(counts, "counts")
     assert not shuffled() - before
     assert spark.conf.get(setting, "false") == "false" and table.count() == 1000
+
+
+def test_tables_written_side_by_side_put_the_setting_back(spark):
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    tables = [spark.range(0, 1000 * (n % 4 + 1), 1, 2).groupBy("id").count() for n in range(12)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(kept, tables))
+    assert spark.conf.get(setting, "false") == before
+    # the second to start saw what the first had set, and left it so when it ended last
+    with _cleaned_up(spark):
+        inner = _cleaned_up(spark)
+        inner.__enter__()
+    assert spark.conf.get(setting) == "true"
+    inner.__exit__(None, None, None)
+    assert spark.conf.get(setting, "false") == before
