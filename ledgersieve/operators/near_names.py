@@ -14,7 +14,8 @@ of their longest common subsequence, so a pair that reaches the cutoff c passes
    are counted.
 4. The pairs of a name are scored in descending order of their bound, and no longer once the
    bound is below the best score; a pair whose longest common subsequence can't reach it is
-   passed over. That is the only step in Python.
+   passed over, and so is one that could only equal it and has the smaller staff name. That is the
+   only step in Python.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ from ledgersieve.sources.kept import kept
 
 def letter_tokens(name: Column) -> Column:
     """Each character with its number among equal ones: names share as many tokens as letters."""
-    letters = F.transform(F.array(F.regexp_extract_all(name, F.lit("(?s)."), F.lit(0))),
-                          lambda chars: F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(
-                              F.slice(chars, F.lit(1), i + 1), lambda other: other == c))
-                              .cast("string"))))
+    # in order of letters, the number is the distance from the first of its kind
+    letters = F.transform(
+        F.array(F.array_sort(F.regexp_extract_all(name, F.lit("(?s)."), F.lit(0)))),
+        lambda chars: F.transform(chars, lambda c, i: F.concat(
+            c, (i + 2 - F.array_position(chars, c)).cast("string"))))
     return F.get(letters, F.lit(0))
 
 
@@ -84,9 +86,14 @@ def candidate_pairs(names: DataFrame, staff: DataFrame, cutoff: float) -> DataFr
     shortest = f"cast(ceil({{0}} * {cutoff / (2 - cutoff)!r} - 1e-9) as int)"
     longest = f"cast(floor({{0}} * {(2 - cutoff) / cutoff!r} + 1e-9) as int)"
     apart = f"cast(floor({1 - cutoff!r} * (n + m) + 1e-9) as int)"
-    left = asking.selectExpr(
+    # Only lengths that a staff name has; there are no more of them than letters in the longest.
+    lengths = kept(listed.select("m").distinct(), "staff-lengths")
+    # A few megabytes of names are minutes of work, so they are dealt by name to all tasks; pairs that
+    # meet on several tokens are then told apart within a task, before their edit distance is taken.
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = asking.repartition(tasks, "name").selectExpr(
         "*", f"explode(sequence({shortest.format('n')}, {longest.format('n')})) as m"
-    ).selectExpr("name", "n", "m", "low", "high", "folded", f"posexplode(slice(tokens, 1, n - {need} + 1)) as (i, token)")
+    ).join(lengths, "m", "left_semi").selectExpr("name", "n", "m", "low", "high", "folded", f"posexplode(slice(tokens, 1, n - {need} + 1)) as (i, token)")
     # Against the shortest names the most tokens count; the others are filtered in the join.
     fewest = need.replace("n + m", f"{shortest.format('m')} + m")
     right = listed.selectExpr(
@@ -95,19 +102,29 @@ def candidate_pairs(names: DataFrame, staff: DataFrame, cutoff: float) -> DataFr
         left.join(right, ["token", "m"])
         .filter(f"j <= m - {need} and 1 + least(n - 1 - i, m - 1 - j) >= {need}")
         .filter(f"bit_count(low & staff_low) + bit_count(high & staff_high) + folded >= {need}")
-        .filter(f"levenshtein(name, staff, {apart}) >= 0")
-        .select("name", "staff").distinct())
+        .select("name", "staff", "n", "m").distinct()
+        .filter(f"levenshtein(name, staff, {apart}) >= 0").select("name", "staff"))
     return (
         met.join(asking, "name").join(listed, "staff")
         .withColumn("common", F.size(F.array_intersect("tokens", "staff_tokens")))
         .filter(f"common >= {need}").selectExpr("name", "staff", "2D * common / (n + m) as bound"))
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a whole row of the table at a time in one integer."""
+def letter_places(a: str) -> dict[str, int]:
+    """For each letter the places where it stands, as bits of one integer."""
     at: dict[str, int] = {}
     for i, letter in enumerate(a):
         at[letter] = at.get(letter, 0) | 1 << i
+    return at
+
+
+def common_subsequence(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, a whole row of the table at a time in one integer.
+
+    ``at`` has the letter places of ``a`` where they are known.
+    """
+    if at is None:
+        at = letter_places(a)
     full = (1 << len(a)) - 1
     row = full
     for letter in b:
@@ -125,19 +142,26 @@ class Best:
 
     def __init__(self, name: str, cutoff: float):
         self.name, self.score, self.staff, self.scored = name, cutoff, None, 0
+        # what depends on the name alone is found once for all of its pairs
+        self.at = letter_places(name)
+        self.matcher = difflib.SequenceMatcher(None, "", name)
 
     def offer(self, staff: str, bound: float) -> None:
-        """Equal scores go to the greater name."""
-        if bound < self.score:
+        """Equal scores go to the greater name, so a smaller one has to be better."""
+        if bound < self.score or bound == self.score and self.after(staff):
             return
-        most = 2.0 * common_subsequence(staff, self.name) / (len(staff) + len(self.name))
-        if most < self.score:
+        most = 2.0 * common_subsequence(self.name, staff, self.at) / (len(staff) + len(self.name))
+        if most < self.score or most == self.score and self.after(staff):
             return
-        score = ratio(staff, self.name)
+        self.matcher.set_seq1(staff)
+        score = self.matcher.ratio()
         self.scored += 1
         if score > self.score or score == self.score and (self.staff is None or staff > self.staff):
             self.score, self.staff = score, staff
 
+    def after(self, staff: str) -> bool:
+        return self.staff is not None and staff < self.staff
+
     def row(self) -> tuple:
         similarity = None if self.staff is None else ratio(self.name, self.staff)
         return self.name, self.staff, similarity, self.scored
@@ -175,7 +199,7 @@ def best_matches(pairs: DataFrame, cutoff: float) -> DataFrame:
             done.append(best.row())
             yield rows()
 
-    return pairs.repartition("name").sortWithinPartitions("name", F.desc("bound"), "staff").mapInArrow(
+    return pairs.repartition("name").sortWithinPartitions("name", F.desc("bound"), F.desc("staff")).mapInArrow(
         run, "name string, normalized_name string, similarity double, scored int")
 
 
