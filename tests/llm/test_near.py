@@ -1,12 +1,15 @@
+import os
 import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from ledgersieve.llm import components, decontaminate, passages, simhash
 from ledgersieve.llm.common import pick
+from ledgersieve.sources import kept
 
 from .conftest import ODD_TEXTS, prose
 
@@ -335,6 +338,29 @@ def test_every_place_of_a_leader_is_compared(docs_of):
     assert {r.doc_id for r in found} | {r.source_doc_id for r in found} == pairs
 
 
+def test_tables_that_no_later_step_reads_are_deleted(docs_of, spark):
+    passage = prose(90_001, 80)
+    docs = docs_of([(i, f"{prose(90_002 + i, 30)} {passage} {prose(90_012 + i, 30)}") for i in range(4)])
+    with kept.scope(spark) as folder:
+        found = passages.repeats(docs).collect()
+        left = {name.rsplit("-", 1)[0] for name in os.listdir(folder.removeprefix("file:"))}
+    assert {r.doc_id for r in found} | {r.source_doc_id for r in found} == {0, 1, 2, 3}
+    assert left == {"texts", "asked-runs", "passages", "run-passages", "all-passages", "members", "classes"}
+
+
+def test_shingles_of_a_text_do_not_depend_on_those_before():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("aAzZ\u00c4\u3000\x1c\x85 \t\n\x0b") for _ in range(200)) for _ in range(40)]
+    texts = [t for _, t in ODD_TEXTS] + texts
+    values, begins = passages.shingle_values(pa.array(texts))
+    known = {}
+    for text, a, b in zip(texts, begins, begins[1:]):
+        shingles = runs(own_words(text), 5)
+        assert len(own_words(text)) == b - a and (values[a + len(shingles):b] == 0).all()
+        assert all(known.setdefault(shingle, value) == value for shingle, value in zip(shingles, values[a:b]))
+    assert len(set(known.values())) == len(known)
+
+
 def test_passages_of_odd_rows(docs_of, no_docs):
     rows = passages.repeats(docs_of(ODD_TEXTS)).collect()
     assert Counter((r.doc_id, r.source_doc_id) for r in rows if r.similarity == 1 and r.n_words == 120) \
