@@ -51,14 +51,21 @@ def _keyed(
     rows = ledger
     if cfg.null_counterparty == "ignore":
         rows = rows.filter(F.col(counterparty).isNotNull())
-    clock = s.clock_micros(F.col(date))
+    clock, reach = s.clock_micros(F.col(date)), max(_window_micros(cfg), 1)
     return rows.withColumns({
         "key_party": _key_text(counterparty),
         "key_account": _key_text(account),
         "key_amount": F.col(amount),
         "clock": clock,
-        "slot": clock - F.pmod(clock, F.lit(max(_window_micros(cfg), 1))),
-    })
+        "slot": clock - F.pmod(clock, F.lit(reach)),
+    }).withColumns(_block(reach))
+
+
+def _block(reach: int) -> dict[str, Column]:
+    """Slots in blocks of 64: the number of a slot's block, and the bit that stands for it."""
+    number = f"(slot div {reach}L)"
+    return {"slot_block": F.expr(f"shiftright({number}, 6)"),
+            "slot_bit": F.expr(f"shiftleft(1L, cast({number} & 63 as int))")}
 
 
 #: Slots of one key that a window looks at together, besides one neighbour on either side.
@@ -69,9 +76,12 @@ def _stretched(slots: DataFrame, reach: int) -> DataFrame:
     """Slots with the stretch of their key that they lie in; those at a border are guests
     of the stretch beside it too."""
     number = F.expr(f"(slot - pmod(slot, {reach}L)) div {reach}L")
-    at, own = F.pmod(number, F.lit(STRETCH_SLOTS)), F.floor(number / STRETCH_SLOTS)
-    seen_by = F.array_compact(F.array(
-        own, F.when(at == 0, own - 1), F.when(at == STRETCH_SLOTS - 1, own + 1)))
+    at = F.pmod(number, F.lit(STRETCH_SLOTS))
+    own, first, last = F.floor(number / STRETCH_SLOTS), at == 0, at == STRETCH_SLOTS - 1
+    # as cases, since a function of each entry of an array is not compiled
+    seen_by = (
+        F.when(first & last, F.array(own, own - 1, own + 1)).when(first, F.array(own, own - 1))
+        .when(last, F.array(own, own + 1)).otherwise(F.array(own)))
     return slots.select("*", own.alias("own"), F.explode(seen_by).alias("stretch"))
 
 
@@ -115,16 +125,23 @@ def close_slots(
     counterparty: str = "counterparty",
     account: str = "account",
 ) -> DataFrame | None:
-    """Keys and time slots that hold duplicates, as a table of known size.
+    """Keys and blocks of time slots that hold duplicates, as a table of known size.
 
-    Where duplicates are rare the table is small and the ledger need not be shuffled to
+    ``slot_bits`` has a bit for each slot of a block that does. Where duplicates are rare, or
+    where a key has many of them, the table is small and the ledger need not be shuffled to
     find their rows. None without a counterparty column: account and amount alone repeat
     too often for standard products.
     """
     if counterparty not in ledger.columns:
         return None
+    close = _close_slots(_keyed(ledger, cfg, amount, date, counterparty, account), cfg)
     return kept(
-        _close_slots(_keyed(ledger, cfg, amount, date, counterparty, account), cfg), "close-slots")
+        close.withColumns(_block(max(_window_micros(cfg), 1))).groupBy(*KEY, "slot_block")
+        .agg(F.bit_or("slot_bit").alias("slot_bits")), "close-slots")
+
+
+def _is_close() -> Column:
+    return F.col("slot_bits").bitwiseAND(F.col("slot_bit")) != 0
 
 
 def duplicate_payment_rows(
@@ -145,7 +162,7 @@ def duplicate_payment_rows(
     if slots is None:
         return _no_rows(ledger)
     keyed = _keyed(ledger, cfg, amount, date, counterparty, account)
-    return keyed.join(slots, [*KEY, "slot"], "left_semi").select(*ledger.columns)
+    return keyed.join(slots, [*KEY, "slot_block"]).where(_is_close()).select(*ledger.columns)
 
 
 def with_duplicate_mark(
@@ -159,7 +176,7 @@ def with_duplicate_mark(
 ) -> DataFrame:
     """Every row with ``duplicate_hit``: whether it is one of ``duplicate_payment_rows``.
 
-    A key and slot is listed once, so the join neither adds nor drops rows.
+    A key and block is listed once, so the join neither adds nor drops rows.
     """
     if slots is None:
         slots = close_slots(ledger, cfg, amount, date, counterparty, account)
@@ -167,12 +184,11 @@ def with_duplicate_mark(
         return ledger.withColumn("duplicate_hit", F.lit(False))
     # Rows without a counterparty are kept even where they form no key
     keyed = _keyed(ledger, replace(cfg, null_counterparty="group"), amount, date, counterparty, account)
-    marks = slots.withColumn("mark", F.lit(True))
     if cfg.null_counterparty == "ignore":
         keyed = keyed.withColumn(
             "key_party", F.when(F.col(counterparty).isNotNull(), F.col("key_party")))
-    return keyed.join(marks, [*KEY, "slot"], "left").select(
-        *ledger.columns, F.col("mark").isNotNull().alias("duplicate_hit"))
+    return keyed.join(slots, [*KEY, "slot_block"], "left").select(
+        *ledger.columns, F.coalesce(_is_close(), F.lit(False)).alias("duplicate_hit"))
 
 
 def duplicate_reason(cfg: ScreenConfig) -> Column:
@@ -209,7 +225,7 @@ def duplicate_payments(
         .alias("duplicate_group_id"),
     )
     numbered = kept(slots.join(groups, KEY), "numbered-slots")
-    return keyed.join(numbered, [*KEY, "slot"]).select(
+    return keyed.join(numbered, [*KEY, "slot_block"]).where(_is_close()).select(
         *ledger.columns, "duplicate_group_id", duplicate_reason(cfg).alias("flag_reason"))
 
 

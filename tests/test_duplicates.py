@@ -159,3 +159,19 @@ def test_no_task_sees_all_slots_of_a_key(spark):
     slots = keyed(ScreenConfig(duplicate_window_days=1 / 86_400_000_000)).select(*duplicates.KEY, "slot").distinct()
     largest = duplicates._stretched(slots, 1).groupBy(*duplicates.KEY, "stretch").count().agg({"count": "max"})
     assert largest.first()[0] <= duplicates.STRETCH_SLOTS + 2
+
+
+def test_close_slots_of_a_key_are_listed_in_blocks(spark):
+    """Ten thousand slots around 1970 under one key, all but every tenth with two rows."""
+    ledger = spark.range(20_000).where("id % 20 <> 1").selectExpr(
+        "cast(id as string) as transaction_id", "'a' as account", "'c' as counterparty", "5.0D as amount",
+        "cast(timestamp_seconds((id div 2 - 5000) * 4.0D + id % 2) as timestamp_ntz) as date")
+    cfg = ScreenConfig(duplicate_window_days=2 / 86_400)
+    slots = duplicates.close_slots(ledger, cfg)
+    assert slots.count() <= 20_000 // 64 + 2
+    expected = {str(x) for x in range(20_000) if x % 20 > 1}
+    assert {r[0] for r in duplicates.duplicate_payment_rows(ledger, cfg, slots=slots).select("transaction_id").collect()} \
+        == expected
+    marked = duplicates.with_duplicate_mark(ledger, cfg, slots=slots)
+    assert {r[0] for r in marked.where("duplicate_hit").select("transaction_id").collect()} == expected
+    assert marked.count() == 19_000
