@@ -436,3 +436,10 @@ def test_passages_among_words_said_very_often_are_found():
     found = passages._aligned(ours, theirs)
     assert any(a <= 5030 and a + n >= 5110 and b <= 70 and b + m >= 150 for a, n, b, m in found)
     assert any(n >= 4_990 and m >= 4_990 for _, n, _, m in found)
+
+
+def test_few_values_are_told_as_isin_tells_them():
+    rng = np.random.default_rng(3)
+    for size in (0, 1, 5, 80):
+        a, b = (rng.integers(0, 60, n).astype(np.uint64) for n in (70, size))
+        assert (passages._held(a, b) == np.isin(a, b)).all() and (passages._held(b, a) == np.isin(b, a)).all()
