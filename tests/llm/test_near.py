@@ -443,3 +443,97 @@ def test_few_values_are_told_as_isin_tells_them():
     for size in (0, 1, 5, 80):
         a, b = (rng.integers(0, 60, n).astype(np.uint64) for n in (70, size))
         assert (passages._held(a, b) == np.isin(a, b)).all() and (passages._held(b, a) == np.isin(b, a)).all()
+
+
+def plain_ties(rows):
+    """(sign, key, own place, lead, lead place, more) of shared signatures, text by text."""
+    out = []
+    for sign in {r[0] for r in rows}:
+        texts = {}
+        for _, key, at in sorted(r for r in rows if r[0] == sign):
+            texts.setdefault(key, []).append(at)
+        lead = min(texts)
+        if len(texts) > 1:
+            out += [(sign, lead, at, lead, at, False) for at in texts.pop(lead)]
+            theirs = [r[4] for r in out if r[:2] == (sign, lead)]
+            for key, own in texts.items():
+                out += [(sign, key, own[min(i, len(own) - 1)], lead, theirs[min(i, len(theirs) - 1)], i >= len(own))
+                        for i in range(max(len(own), len(theirs)))]
+    return sorted(out)
+
+
+def test_ties_equal_plain_ones_wherever_batches_end(monkeypatch):
+    rng = np.random.default_rng(14)
+    schema = ["__sign", "__key", "__at", "__reach"]
+    for case in range(30):
+        monkeypatch.setattr(passages, "TIES", (1, 7, 1000)[case % 3])
+        rows = list({(int(s), int(k), int(a)) for s, k, a in zip(
+            rng.integers(0, 1 + case, 200), rng.integers(0, (2, 5, 40)[case % 3], 200), rng.integers(0, 500, 200))})
+        rows += [(99, 7, 1), (99, 7, 2)]
+
+        def batches(lines, size):
+            for i in range(0, len(lines), size):
+                columns = list(zip(*lines[i:i + size], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=schema)
+
+        size = (1, 3, 64, 1000)[case % 4]
+        by_sign = sorted(((*r, 0) for r in rows), key=lambda r: r[0])
+        met = [tuple(r.values()) for b in passages._several(batches(by_sign, size), 1 + 2 * (case % 2))
+               for r in b.to_pylist()]
+        several = {s for s, *_ in rows if len({k for t, k, _ in rows if t == s}) > 1}
+        assert sorted(met) == sorted(r for r in by_sign if r[0] in several)
+        # the signatures of one text have no ties either where they are still there
+        told = [tuple(r.values()) for b in passages._ties(batches(sorted(by_sign if case % 2 else met), size))
+                for r in b.to_pylist()]
+        assert sorted((s, k, at, lead, there, more) for s, k, at, _, lead, there, _, more in told) == plain_ties(rows)
+
+
+def test_windows_beside_their_leaders_are_sent_once(docs_of):
+    passage = prose(95_001, 80)
+    docs = docs_of([(i, f"{prose(95_002 + i, 30)} {passage} {prose(95_012 + i, 30)}") for i in range(4)])
+    keyed = pick(docs, "doc_id", "text").withColumnRenamed("doc_id", "__key")
+    tied = passages._star(passages._shared(passages.windows(keyed, passages.opened(keyed)), "shared"))
+    assert "Exchange" not in tied._jdf.queryExecution().executedPlan().toString()
+    # windows at the edges of the passage may have leaders of their own
+    assert {(r["__key"], r["__lead"]) for r in tied.collect()} >= {(1, 0), (2, 0), (3, 0)}
+
+
+def test_regions_of_many_pairs_are_those_of_each():
+    rng = np.random.default_rng(15)
+    for _ in range(20):
+        n = 300
+        pair = np.sort(rng.integers(0, 12, n))
+        at, slope = rng.integers(50, 900, n), rng.integers(-40, 40, n)
+        reach, lead_reach = (64 * rng.integers(0, 46, n) + rng.integers(0, 46, n) for _ in range(2))
+        function = rng.choice([0, 1, 2, 11, passages.ALL], n, p=[0.4, 0.3, 0.1, 0.1, 0.1])
+        low = at - np.minimum(reach // 64, lead_reach // 64)
+        high = at + np.minimum(reach % 64, lead_reach % 64)
+        plain = []
+        for p in range(12):
+            rows = sorted(np.flatnonzero(pair == p).tolist(), key=lambda i: slope[i])
+            groups = []
+            for i in rows:
+                if not groups or slope[i] - slope[groups[-1][-1]] > passages.DRIFT:
+                    groups.append([])
+                groups[-1].append(i)
+            for group in groups:
+                parts = []
+                for i in sorted(group, key=lambda i: low[i]):
+                    if not parts or low[i] > max(high[parts[-1]]) + passages.DRIFT:
+                        parts.append([])
+                    parts[-1].append(i)
+                plain += [(p, min(low[x]), max(high[x]), min(low[x]) - max(slope[x]), max(high[x]) - min(slope[x]))
+                          for x in parts if len(set(function[x])) >= passages.ENOUGH or passages.ALL in function[x]]
+        found = passages.meetings(pair, at, reach, at - slope, lead_reach, function)
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(plain)
+
+
+def test_numbered_shingles_are_as_alike_as_before():
+    rng = np.random.default_rng(16)
+    for size in (5, 60, 3000):
+        a, b = (rng.integers(0, 50, n).astype(np.uint64) << np.uint64(50) for n in (size, 40))
+        ours, theirs, numbers = passages._numbered(a, b)
+        assert numbers == len(np.unique(np.concatenate((a, b))))
+        assert (passages._among(ours, theirs, numbers) == np.isin(a, b)).all()
+        for many in (numbers, 1 << 20):
+            assert passages._alike(ours, theirs, many) == passages._likeness(a, b)
